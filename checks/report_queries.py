@@ -409,12 +409,12 @@ def filter_options(spark: SparkSession, sf: str) -> DataFrame:
 def filter_equality(spark: SparkSession, sf: str) -> DataFrame:
     on_platform = (F.col("platform_id") == 12) | (F.col("platform_id") == 10)
     day = F.col("effective_date") == F.lit("2001-08-15").cast("date")
-    return filters.where(star.dim_product(spark, sf), on_platform & F.col("flag") & day).select("product_id", "price")
+    return filters.where(star.stored(spark, sf, "dim_product"), on_platform & F.col("flag") & day).select("product_id", "price")
 
 
 @check("FLT-2", over_star("SELECT sale_id FROM fact_sales WHERE date_id = 6"))
 def filter_optional(spark: SparkSession, sf: str) -> DataFrame:
-    facts = filters.where_opt(star.fact_sales(spark, sf), "platform_id", None)
+    facts = filters.where_opt(star.stored(spark, sf, "fact_sales"), "platform_id", None)
     return filters.where_opt(facts, "date_id", 6).select("sale_id")
 
 
@@ -423,7 +423,7 @@ def filter_optional(spark: SparkSession, sf: str) -> DataFrame:
     over_star("SELECT snapshot_id FROM fact_periodic_sales WHERE units_sold > 0 AND total_sales_amount > 0"),
 )
 def filter_positive(spark: SparkSession, sf: str) -> DataFrame:
-    facts = star.fact_periodic_sales(spark, sf)
+    facts = star.stored(spark, sf, "fact_periodic_sales")
     return filters.positive(facts, ["units_sold", "total_sales_amount"]).select("snapshot_id")
 
 
@@ -435,7 +435,7 @@ def filter_positive(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def filter_period(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.period_match(star.fact_periodic_sales(spark, sf), "30-DAY").select("snapshot_id", "report_period")
+    return filters.period_match(star.stored(spark, sf, "fact_periodic_sales"), "30-DAY").select("snapshot_id", "report_period")
 
 
 @check(
@@ -457,8 +457,8 @@ def filter_keywords(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def filter_subtree(spark: SparkSession, sf: str) -> DataFrame:
-    ids = trees.subtree(star.dim_category(spark, sf), 12, ROOT_ID)
-    return filters.in_subtree(star.fact_sales(spark, sf), ids).select("sale_id")
+    ids = trees.subtree(star.stored(spark, sf, "dim_category"), 12, ROOT_ID)
+    return filters.in_subtree(star.stored(spark, sf, "fact_sales"), ids).select("sale_id")
 
 
 @check("FLT-8", "SELECT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 49) AS found")
@@ -473,7 +473,7 @@ def row_exists(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def root_categories(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.root_categories(star.dim_category(spark, sf), 11).select("category_id", "category_name")
+    return filters.root_categories(star.stored(spark, sf, "dim_category"), 11).select("category_id", "category_name")
 
 
 # ---- joins ----
@@ -481,7 +481,7 @@ def root_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 @check("JOI-15 SET-1", over_star(f"WITH {_subtree_sql(ROOT_ID, 12)} SELECT DISTINCT category_id FROM below"))
 def category_subtree(spark: SparkSession, sf: str) -> DataFrame:
-    return trees.subtree(star.dim_category(spark, sf), 12, ROOT_ID)
+    return trees.subtree(star.stored(spark, sf, "dim_category"), 12, ROOT_ID)
 
 
 _LATEST = f"""SELECT sale_id, f.date_id FROM fact_sales f
@@ -490,12 +490,12 @@ _LATEST = f"""SELECT sale_id, f.date_id FROM fact_sales f
 
 @check("JOI-13 AGG-4", over_star(_LATEST))
 def latest_rows_per_key(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.latest_rows(star.fact_sales(spark, sf), PRODUCT_KEY).select("sale_id", "date_id")
+    return windows.latest_rows(star.stored(spark, sf, "fact_sales"), PRODUCT_KEY).select("sale_id", "date_id")
 
 
 @check("AGG-4", over_star(f"SELECT {KEY}, max(date_id) AS max_date_id FROM fact_sales GROUP BY ALL"))
 def max_date_per_key(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.max_per_key(star.fact_sales(spark, sf), "date_id", PRODUCT_KEY)
+    return windows.max_per_key(star.stored(spark, sf, "fact_sales"), "date_id", PRODUCT_KEY)
 
 
 @check(
@@ -524,7 +524,7 @@ def star_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @check("JOI-16", over_star("SELECT sale_id, date FROM fact_sales JOIN dim_date USING (date_id)"))
 def facts_with_date(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.with_date(star.fact_sales(spark, sf), star.dim_date(spark, sf)).select("sale_id", "date")
+    return joins.with_date(star.stored(spark, sf, "fact_sales"), star.stored(spark, sf, "dim_date")).select("sale_id", "date")
 
 
 # ---- aggregates, windows, order, sets ----
@@ -537,7 +537,7 @@ def row_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @check("AGG-2", over_star("SELECT count(DISTINCT level) AS n FROM dim_category"))
 def distinct_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return rollups.n_distinct(star.dim_category(spark, sf), "level")
+    return rollups.n_distinct(star.stored(spark, sf, "dim_category"), "level")
 
 
 @check(
@@ -545,12 +545,12 @@ def distinct_levels(spark: SparkSession, sf: str) -> DataFrame:
     over_star("SELECT sale_id FROM fact_sales WHERE date_id = (SELECT max(date_id) FROM fact_sales)"),
 )
 def newest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.at_global_max(star.fact_sales(spark, sf), "date_id").select("sale_id")
+    return joins.at_global_max(star.stored(spark, sf, "fact_sales"), "date_id").select("sale_id")
 
 
 @check("AGG-15", over_star("SELECT DISTINCT platform_id, category_id, brand_id FROM fact_sales"))
 def distinct_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return sets.distinct_keys(star.fact_sales(spark, sf), ["platform_id", "category_id", "brand_id"])
+    return sets.distinct_keys(star.stored(spark, sf, "fact_sales"), ["platform_id", "category_id", "brand_id"])
 
 
 @check(
@@ -561,7 +561,7 @@ def distinct_keys(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def latest_row_per_key(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.latest_per_key(star.fact_sales(spark, sf), PRODUCT_KEY).select("sale_id", "units_sold")
+    return windows.latest_per_key(star.stored(spark, sf, "fact_sales"), PRODUCT_KEY).select("sale_id", "units_sold")
 
 
 @check(
@@ -569,7 +569,7 @@ def latest_row_per_key(spark: SparkSession, sf: str) -> DataFrame:
     over_star(f"SELECT sale_id, max(date_id) OVER (PARTITION BY {KEY}) AS max_date_id FROM fact_sales"),
 )
 def partition_max(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.with_partition_max(star.fact_sales(spark, sf), "date_id", PRODUCT_KEY).select(
+    return windows.with_partition_max(star.stored(spark, sf, "fact_sales"), "date_id", PRODUCT_KEY).select(
         "sale_id", "max_date_id"
     )
 
@@ -579,7 +579,7 @@ def partition_max(spark: SparkSession, sf: str) -> DataFrame:
     over_star(f"SELECT sale_id, row_number() OVER (PARTITION BY {KEY} ORDER BY date_id DESC) AS rn FROM fact_sales"),
 )
 def snapshot_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.rank_snapshots(star.fact_sales(spark, sf), PRODUCT_KEY).select("sale_id", "rn")
+    return windows.rank_snapshots(star.stored(spark, sf, "fact_sales"), PRODUCT_KEY).select("sale_id", "rn")
 
 
 @check(
@@ -590,7 +590,7 @@ def snapshot_ranks(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def longest_period_per_key(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.longest_period(star.fact_periodic_sales(spark, sf), PRODUCT_KEY).select(
+    return windows.longest_period(star.stored(spark, sf, "fact_periodic_sales"), PRODUCT_KEY).select(
         "snapshot_id", "report_period"
     )
 
@@ -603,12 +603,12 @@ def longest_period_per_key(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def latest_product_version(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.latest_version(star.dim_product(spark, sf), PRODUCT_KEY).select("product_id", "effective_date")
+    return windows.latest_version(star.stored(spark, sf, "dim_product"), PRODUCT_KEY).select("product_id", "effective_date")
 
 
 @check("SRT-1", over_star(f"SELECT {KEY}, units_sold FROM fact_periodic_sales ORDER BY {KEY}"))
 def ordered_growth(spark: SparkSession, sf: str) -> DataFrame:
-    rows = star.fact_periodic_sales(spark, sf).select(*PRODUCT_KEY, "units_sold")
+    rows = star.stored(spark, sf, "fact_periodic_sales").select(*PRODUCT_KEY, "units_sold")
     return ranking.order(rows, PRODUCT_KEY)
 
 

@@ -1,17 +1,24 @@
 """A marketplace star schema laid over the test tables, for Spark and for the oracle.
 
-Line items are sales of a part (product) by a supplier (seller). The quantity sold up to six cut-off
+The tables are derived by Spark and written to the shared folder, as a load would leave them; queries
+read them from there. Line items are sales of a part (product) by a supplier (seller). The quantity sold up to six cut-off
 days plays the all-time counter of six snapshots; a product is listed in a snapshot when its last sale
 is at most LISTED_DAYS old.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tradewind.operators.skew import join_large
 from tradewind.schemas import PLATFORMS
+from tradewind.session import scratch_path
+from tradewind.sinks.tables import append_table
+from tradewind.sources.tables import read_table, rows_to_df
 
 CUTOFFS = [
     (1, "2001-08-15"),
@@ -26,8 +33,15 @@ PAIR = 100_000_000
 REGION = 10_000_000_000
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; the schema is read from the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def platform_of(seller: Column) -> Column:
@@ -122,11 +136,11 @@ def _platforms() -> Column:
 
 
 def dim_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(PLATFORMS.items()), "platform_id int, platform_name string")
+    return rows_to_df(spark, list(PLATFORMS.items()), "platform_id int, platform_name string")
 
 
 def dim_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = spark.createDataFrame(CUTOFFS, "date_id bigint, day string")
+    days = rows_to_df(spark, CUTOFFS, "date_id bigint, day string")
     date = F.col("day").cast("date")
     return days.select(
         "date_id",
@@ -313,6 +327,7 @@ BUILDERS = {
     "dim_location": dim_location,
     "dim_seller": dim_seller,
     "dim_brand": dim_brand,
+    "category_tree": category_tree,
     "dim_category": dim_category,
     "dim_product": dim_product,
     "fact_sales": fact_sales,
@@ -320,8 +335,38 @@ BUILDERS = {
 }
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: build(spark, sf_dir) for name, build in BUILDERS.items()}
+_roots: dict[tuple[str, str], str] = {}
+_written: set[str] = set()
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A star-schema table as a warehouse holds it: written once per application, then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    root = _roots.setdefault(key, scratch_path(spark, "star"))
+    if f"{root}/{name}" not in _written:
+        append_table(BUILDERS[name](spark, sf_dir), name, root)
+        _written.add(f"{root}/{name}")
+    return read_table(spark, name, root)
+
+
+class Tables(Mapping):
+    """The star schema by table name; a table is written when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return stored(self.spark, self.sf_dir, name)
+
+    def __iter__(self):
+        return iter(BUILDERS)
+
+    def __len__(self) -> int:
+        return len(BUILDERS)
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    return Tables(spark, sf_dir)
 
 
 _CUTOFF_ROWS = ", ".join(f"({i}::BIGINT, DATE '{day}')" for i, day in CUTOFFS)

@@ -67,7 +67,7 @@ def item_at(items: Column, position: int) -> Column:
 
 def csv_items(c: Column) -> Column:
     """Comma-separated text as an array of trimmed items."""
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(c, ","), F.trim))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(c, ","), lambda item: F.trim(item)))
 
 
 def contains_ci(c: Column, keyword: Column) -> Column:

@@ -21,9 +21,12 @@ _SUPPORTED = {"inner", "left", "left_semi", "left_anti"}
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's size estimate of a plan; None where the session does not expose it."""
+    """Spark's size estimate of a plan; None where the session does not expose it.
+
+    Taken before optimisation, which is cheap and never below the estimate of the optimised plan.
+    """
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     except AttributeError:
         return None
 

@@ -26,6 +26,7 @@ from tradewind.operators.ranking import page_info, page_rows
 from tradewind.operators.trees import subtree
 from tradewind.operators.windows import latest_rows, longest_period
 from tradewind.schemas import PRODUCT_KEY
+from tradewind.sources.tables import rows_to_df
 
 KEYWORD_COLUMNS = ["category_name", "product_name", "product_description"]
 BEST_BY_SOLD = "sold"
@@ -186,5 +187,5 @@ def filter_options(tables: Mapping[str, DataFrame], platform_id: int) -> dict[st
     return {
         "platforms": platforms,
         "categories": root_categories(tables["dim_category"], platform_id),
-        "periods": spark.createDataFrame([(p,) for p in OFFERED_PERIODS], "period string"),
+        "periods": rows_to_df(spark, [(p,) for p in OFFERED_PERIODS], "period string"),
     }

@@ -5,7 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tradewind.schemas import TABLES
 
@@ -33,8 +36,15 @@ def read_jdbc(
 
 
 def rows_to_df(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Literal rows with declared types; no rows give an empty typed frame."""
-    return spark.createDataFrame(list(rows), schema)
+    """Literal rows with declared types; no rows give an empty typed frame.
+
+    They go through Arrow, which leaves a local relation of known size in the plan.
+    """
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    arrow = to_arrow_schema(fields)
+    arrays = [pa.array(list(values), type=kind) for values, kind in zip(columns, arrow.types, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), fields)
 
 
 def as_view(df: DataFrame, name: str) -> str:
