@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tradewind.operators.skew import join_large
+from tradewind.plans.dimensions import unknown_members
 from tradewind.schemas import PLATFORMS
 from tradewind.session import scratch_path
 from tradewind.sinks.tables import append_table
@@ -153,30 +154,39 @@ def dim_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(
+    unknown = rows_to_df(spark, [(-1, "Chưa rõ")], "location_id bigint, location_name string")
+    places = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("location_id"), F.col("n_name").alias("location_name")
     )
+    return places.unionByName(unknown)
+
+
+def _with_unknown(spark: SparkSession, name: str, id_col: str, members: DataFrame, own_id: Column) -> DataFrame:
+    unknown = unknown_members(dim_platform(spark, "").select("platform_id"))[name]
+    return members.unionByName(unknown.withColumn(id_col, own_id.cast("bigint")))
 
 
 def dim_seller(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(
+    members = table(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") + 1).alias("seller_id"),
         F.col("s_suppkey").alias("seller_code"),
         F.col("s_name").alias("seller_name"),
         F.concat(F.lit("https://seller.example.com/"), F.col("s_suppkey")).alias("seller_url"),
         platform_of(F.col("s_suppkey")).alias("platform_id"),
     )
+    return _with_unknown(spark, "dim_seller", "seller_id", members, -F.col("platform_id"))
 
 
 def dim_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = table(spark, sf_dir, "part").select("p_brand").distinct()
     code = brand_code()
-    return brands.select(code.alias("brand_code"), F.col("p_brand").alias("brand_name"), _platforms()).select(
+    members = brands.select(code.alias("brand_code"), F.col("p_brand").alias("brand_name"), _platforms()).select(
         (F.col("platform_id") * 100_000 + F.col("brand_code")).alias("brand_id"),
         "brand_code",
         "brand_name",
         "platform_id",
     )
+    return _with_unknown(spark, "dim_brand", "brand_id", members, F.col("platform_id"))
 
 
 def _category_names() -> list[Column]:
@@ -218,7 +228,7 @@ def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dim_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("platform_id") * F.lit(REGION)
-    return category_tree(spark, sf_dir).select(
+    members = category_tree(spark, sf_dir).select(
         (base + F.col("category_code")).alias("category_id"),
         "category_code",
         "platform_id",
@@ -227,6 +237,7 @@ def dim_category(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("level") > 0, base + F.col("parent_code")).alias("parent_id"),
         "level",
     )
+    return _with_unknown(spark, "dim_category", "category_id", members, F.col("platform_id"))
 
 
 def listed(date_id: int, day: str) -> Column:
@@ -321,7 +332,24 @@ def fact_periodic_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with their seller, place and counters: what a crawl would see."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("n_nationkey"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = join_large(described_pairs(spark, sf_dir), supplier, ["s_suppkey"], "inner")
+    return join_large(rows, nation, ["n_nationkey"], "inner").select(
+        *rows.columns,
+        "n_name",
+        price().alias("price"),
+        original_price().alias("original_price"),
+        brand_code().alias("brand_code"),
+        *[c.cast("bigint").alias(f"c{i}") for i, c in enumerate(_category_codes())],
+        platform_of(F.col("s_suppkey")).alias("platform_id"),
+    )
+
+
 BUILDERS = {
+    "sold_pairs": sold_pairs,
     "dim_platform": dim_platform,
     "dim_date": dim_date,
     "dim_location": dim_location,
@@ -378,15 +406,17 @@ dim_date AS (
   SELECT date_id, date, day(date)::INT AS day, month(date)::INT AS month, year(date)::INT AS year,
          quarter(date)::INT AS quarter
   FROM (VALUES {_CUTOFF_ROWS}) t(date_id, date)),
-dim_location AS (SELECT n_nationkey::BIGINT AS location_id, n_name AS location_name FROM nation),
+dim_location AS (
+  SELECT n_nationkey::BIGINT AS location_id, n_name AS location_name FROM nation UNION ALL SELECT -1, 'Chưa rõ'),
 dim_seller AS (
   SELECT s_suppkey + 1 AS seller_id, s_suppkey AS seller_code, s_name AS seller_name,
          'https://seller.example.com/' || s_suppkey AS seller_url, (10 + s_suppkey % 3)::INT AS platform_id
-  FROM supplier),
+  FROM supplier UNION ALL SELECT -platform_id, -1, 'No Seller', 'No url', platform_id FROM dim_platform),
 dim_brand AS (
   SELECT platform_id * 100000 + replace(p_brand, 'Brand#', '')::BIGINT AS brand_id,
          replace(p_brand, 'Brand#', '')::BIGINT AS brand_code, p_brand AS brand_name, platform_id
-  FROM (SELECT DISTINCT p_brand FROM part) b, dim_platform),
+  FROM (SELECT DISTINCT p_brand FROM part) b, dim_platform
+  UNION ALL SELECT platform_id, -1, 'No Brand', platform_id FROM dim_platform),
 coded_part AS (
   SELECT *, ascii(p_type)::BIGINT * 100 + length(p_type) AS c0,
          (ascii(p_type)::BIGINT * 100 + length(p_type)) * 10 + p_size % 5 AS c1,
@@ -408,7 +438,8 @@ category_tree AS (
 dim_category AS (
   SELECT platform_id * {REGION} + category_code AS category_id, category_code, platform_id, category_name,
          category_url, CASE WHEN level > 0 THEN platform_id * {REGION} + parent_code END AS parent_id, level
-  FROM category_tree),
+  FROM category_tree
+  UNION ALL SELECT platform_id, -1, platform_id, 'Khác', 'No url', NULL, 0 FROM dim_platform),
 sold_pairs AS (
   SELECT l_partkey, l_suppkey, sum(l_quantity::BIGINT)::BIGINT AS sold FROM lineitem GROUP BY ALL),
 dim_product AS (
@@ -434,6 +465,13 @@ fact_sales AS (
          p_partkey::VARCHAR AS product_code, s_nationkey::BIGINT AS location_id, units_sold,
          (units_sold * price)::DECIMAL(38,2) AS total_sales_amount, (10 + l_suppkey % 3)::INT AS platform_id
   FROM counters JOIN coded_part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+listing AS (
+  SELECT date_id, units_sold AS units, p.*, l_suppkey AS s_suppkey, s_name, n_name,
+         (10 + l_suppkey % 3)::INT AS platform_id,
+         'https://shop.example.com/' || replace(p_name, ' ', '-') || '-i.' || l_suppkey || '.' || p_partkey || '?sp=1'
+           AS product_url
+  FROM counters JOIN coded_part p ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+  JOIN nation ON n_nationkey = s_nationkey),
 numbered_sales AS (
   SELECT f.*, d.date, row_number() OVER (PARTITION BY f.product_id ORDER BY f.date_id DESC) AS rn,
          max(f.date_id) OVER () AS newest_id
