@@ -14,7 +14,7 @@ from tradewind.operators import cleaning, joins, scd, trees, windows
 from tradewind.operators.keys import assign_ids
 from tradewind.operators.sets import union_all
 from tradewind.plans import dimensions, facts, growth, incremental, products
-from tradewind.plans.warehouse import Warehouse
+from tradewind.plans.warehouse import Warehouse, staging
 from tradewind.schemas import FACT_KEYS, PERIODIC_KEYS, PRODUCT_KEY
 from tradewind.session import scratch_path
 from tradewind.sinks.files import write_chunks
@@ -532,8 +532,9 @@ def loaded_categories(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = Warehouse(spark, scratch_path(spark, "categories")).create()
     dimensions.seed(warehouse, DAYS[1])
     tree = star.stored(spark, sf, "category_tree")
-    dimensions.load_categories(warehouse, tree.where("level <= 1"))
-    dimensions.load_categories(warehouse, tree)
+    with staging(spark) as stage:
+        dimensions.load_categories(warehouse, tree.where("level <= 1"), stage)
+        dimensions.load_categories(warehouse, tree, stage)
     loaded = warehouse.read("dim_category")
     parents = loaded.select(F.col("category_id").alias("parent_id"), F.col("category_code").alias("parent_code"))
     return loaded.join(parents, "parent_id", "left").select(
@@ -554,9 +555,10 @@ def loaded_categories(spark: SparkSession, sf: str) -> DataFrame:
 def loaded_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     """Two snapshots of each marketplace into brand, seller and location."""
     warehouse = Warehouse(spark, scratch_path(spark, "dims")).create()
-    for date_id in (5, 6):
-        for platform_id in (10, 11, 12):
-            dimensions.load_dims(warehouse, _flat(spark, sf, platform_id, date_id), platform_id)
+    with staging(spark) as stage:
+        for date_id in (5, 6):
+            for platform_id in (10, 11, 12):
+                dimensions.load_dims(warehouse, _flat(spark, sf, platform_id, date_id), platform_id, stage)
     coded = [
         warehouse.read(f"dim_{what}").select(F.lit(what).alias("kind"), "platform_id", F.col(f"{what}_name").alias("name"))
         for what in ("brand", "seller")
@@ -575,7 +577,8 @@ def loaded_products(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "products")
     warehouse = Warehouse(spark, root).create()
     warehouse.append("dim_seller", star.stored(spark, sf, "dim_seller"))
-    products.load_products(warehouse, _flat(spark, sf, 12, 6), 12, DAYS[6])
+    with staging(spark) as stage:
+        products.load_products(warehouse, _flat(spark, sf, 12, 6), 12, DAYS[6], stage)
     return warehouse.read("dim_product")
 
 
@@ -615,7 +618,8 @@ def _short_facts(spark: SparkSession, sf: str, platform_id: int) -> DataFrame:
     warehouse = Warehouse(spark, scratch_path(spark, "facts")).create()
     warehouse.append("dim_seller", star.stored(spark, sf, "dim_seller"))
     rows = _flat(spark, sf, platform_id, 6)
-    products.load_products(warehouse, rows, platform_id, DAYS[6])
+    with staging(spark) as stage:
+        products.load_products(warehouse, rows, platform_id, DAYS[6], stage)
     built = facts.build_facts(rows, _DimsWith(spark, sf, warehouse.read("dim_product")), platform_id, F.lit(6))
     return built.select(
         "product_code", "seller_id", "category_id", "brand_id", "location_id", "units_sold", "total_sales_amount"

@@ -11,8 +11,9 @@ from tradewind.functions import date_parts
 from tradewind.operators.cleaning import brand_rows, dedupe, location_rows, seller_rows
 from tradewind.operators.joins import new_rows
 from tradewind.operators.keys import assign_ids
+from tradewind.operators.sets import union_all
 from tradewind.operators.trees import resolve_parents
-from tradewind.plans.warehouse import Warehouse
+from tradewind.plans.warehouse import Stage, Warehouse
 from tradewind.schemas import (
     P10,
     P11,
@@ -37,14 +38,18 @@ NATURAL_KEYS = {
 }
 
 
-def with_new_ids(image: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """Rows of the image that the dimension lacks, with ids after its highest one."""
+def with_ids_after(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Rows with ids after the highest one of the dimension."""
     id_col, keys = NATURAL_KEYS[name]
-    return assign_ids(new_rows(image, table, keys), id_col, keys, existing=table)
+    return assign_ids(rows, id_col, keys, existing=table)
 
 
-def insert_new(warehouse: Warehouse, name: str, image: DataFrame) -> None:
-    warehouse.append(name, with_new_ids(image, warehouse.read(name), name))
+def insert_new(warehouse: Warehouse, name: str, image: DataFrame, stage: Stage) -> None:
+    """Append what the dimension lacks; the new rows are found once and then numbered."""
+    table = warehouse.read(name)
+    fresh = stage(new_rows(image, table, NATURAL_KEYS[name][1]), name)
+    if not fresh.isEmpty():
+        warehouse.append(name, with_ids_after(fresh, table, name))
 
 
 def date_row(spark: SparkSession, as_of: dt.date | str) -> DataFrame:
@@ -75,29 +80,70 @@ def unknown_members(platforms: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _present_seeds(warehouse: Warehouse, as_of: dt.date | str) -> set[tuple[str, int]]:
+    """Which seed rows exist: at most one per table and platform, so the answer is a handful of rows."""
+    code = F.lit(UNKNOWN_CODE)
+    found = [
+        warehouse.read(name).where(F.col(column) == code).select(F.lit(name).alias("name"), "platform_id")
+        for name, column in (
+            ("dim_category", "category_code"),
+            ("dim_brand", "brand_code"),
+            ("dim_seller", "seller_code"),
+        )
+    ]
+    place = warehouse.read("dim_location").where(F.col("location_id") == UNKNOWN_LOCATION_ID)
+    today = warehouse.read("dim_date").where(F.col("date") == F.lit(str(as_of)).cast("date"))
+    nowhere = F.lit(0).alias("platform_id")
+    found += [
+        warehouse.read("dim_platform").select(F.lit("dim_platform").alias("name"), "platform_id"),
+        place.select(F.lit("dim_location").alias("name"), nowhere),
+        today.select(F.lit("dim_date").alias("name"), nowhere),
+    ]
+    return {(row["name"], row["platform_id"]) for row in union_all(*found).distinct().collect()}
+
+
 def seed(warehouse: Warehouse, as_of: dt.date | str) -> None:
     """Platforms, the date row and every unknown member, each only when absent."""
     spark = warehouse.spark
-    platforms = rows_to_df(spark, list(PLATFORMS.items()), "platform_id int, platform_name string")
-    warehouse.append("dim_platform", new_rows(platforms, warehouse.read("dim_platform"), ["platform_id"]))
-    insert_new(warehouse, "dim_date", date_row(spark, as_of))
-    for name, rows in unknown_members(platforms.select("platform_id")).items():
-        insert_new(warehouse, name, rows)
-    place = rows_to_df(
-        spark, [(UNKNOWN_LOCATION_ID, UNKNOWN_LOCATION_NAME)], "location_id bigint, location_name string"
-    )
-    warehouse.append("dim_location", new_rows(place, warehouse.read("dim_location"), ["location_id"]))
+    present = _present_seeds(warehouse, as_of)
+
+    def absent(name: str) -> list[int]:
+        return [p for p in PLATFORMS if (name, p) not in present]
+
+    def platforms(ids: list[int]) -> DataFrame:
+        return rows_to_df(spark, [(p, PLATFORMS[p]) for p in ids], "platform_id int, platform_name string")
+
+    if absent("dim_platform"):
+        warehouse.append("dim_platform", platforms(absent("dim_platform")))
+    if ("dim_date", 0) not in present:
+        today = date_row(spark, as_of)
+        warehouse.append("dim_date", with_ids_after(today, warehouse.read("dim_date"), "dim_date"))
+    for name in ("dim_category", "dim_brand", "dim_seller"):
+        if absent(name):
+            rows = unknown_members(platforms(absent(name)).select("platform_id"))[name]
+            warehouse.append(name, with_ids_after(rows, warehouse.read(name), name))
+    if ("dim_location", 0) not in present:
+        place = rows_to_df(
+            spark, [(UNKNOWN_LOCATION_ID, UNKNOWN_LOCATION_NAME)], "location_id bigint, location_name string"
+        )
+        warehouse.append("dim_location", place)
+
+
+def category_rows(tree: DataFrame) -> DataFrame:
+    """Each category code counts once per platform, in its highest place."""
+    return dedupe(tree, ["category_code", "platform_id"], ["level", "category_name", "category_url", "parent_code"])
 
 
-def category_additions(tree: DataFrame, dim_category: DataFrame) -> DataFrame:
-    """New categories with their ids and parent ids; each code counts once per platform."""
-    keys = ["category_code", "platform_id"]
-    unique = dedupe(tree, keys, ["level", "category_name", "category_url", "parent_code"])
-    return resolve_parents(with_new_ids(unique, dim_category, "dim_category"), known=dim_category)
+def category_additions(fresh: DataFrame, dim_category: DataFrame) -> DataFrame:
+    """New categories with ids and parent ids; parents may be new or known."""
+    return resolve_parents(with_ids_after(fresh, dim_category, "dim_category"), known=dim_category)
 
 
-def load_categories(warehouse: Warehouse, tree: DataFrame) -> None:
-    warehouse.append("dim_category", category_additions(tree, warehouse.read("dim_category")))
+def load_categories(warehouse: Warehouse, tree: DataFrame, stage: Stage) -> None:
+    table = warehouse.read("dim_category")
+    fresh = stage(new_rows(category_rows(tree), table, NATURAL_KEYS["dim_category"][1]), "dim_category")
+    if not fresh.isEmpty():
+        warehouse.append("dim_category", category_additions(fresh, table))
 
 
 def dimension_images(rows: DataFrame, platform_id: int) -> dict[str, DataFrame]:
@@ -111,6 +157,6 @@ def dimension_images(rows: DataFrame, platform_id: int) -> dict[str, DataFrame]:
     return images
 
 
-def load_dims(warehouse: Warehouse, rows: DataFrame, platform_id: int) -> None:
+def load_dims(warehouse: Warehouse, rows: DataFrame, platform_id: int, stage: Stage) -> None:
     for name, image in dimension_images(rows, platform_id).items():
-        insert_new(warehouse, name, image)
+        insert_new(warehouse, name, image, stage)

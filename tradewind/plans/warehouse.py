@@ -2,14 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.schemas import TABLES
+from tradewind.session import scratch_path
 from tradewind.sinks.tables import append_table, replace_partitions
 from tradewind.sources import storage
 from tradewind.sources.tables import read_table
 
 
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[Stage]:
+    """Frames written once to the shared folder, because later steps read them several times.
+
+    The written copy also cuts the lineage: a lost executor costs a read, not the steps before.
+    The copies go when the block ends.
+    """
+    paths: list[str] = []
+
+    def stage(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield stage
+    finally:
+        for path in paths:
+            storage.remove(spark, path)
+
+
 class Warehouse:
     """Named tables below one root folder that all executors can reach."""
 
