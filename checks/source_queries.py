@@ -55,23 +55,21 @@ def landing_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @check(
-    "SRC-2",
-    over_star("SELECT p_name AS title, n_name, units FROM listing WHERE platform_id = 10 AND date_id = 6"),
+    "SRC-2 SNK-2",
+    over_star(
+        """SELECT p_name AS title, CASE WHEN p_size > 25 THEN 'TP. ' ELSE '|' END || lower(n_name) AS location,
+          p_type AS category, 1 AS offers FROM listing WHERE platform_id = 10 AND date_id = 6"""
+    ),
 )
 def multiline_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Indented records, one file each, read back as multi-line JSON."""
-    folder = scratch_path(spark, "indented")
-    rows = landing.snapshot(spark, sf, 10, 6).select(
-        F.to_json(
-            F.array(
-                F.struct(F.col("p_name").alias("title"), F.col("n_name").alias("location"), F.col("units").cast("string").alias("sold"))
-            ),
-            {"pretty": "true"},
-        ).alias("value")
-    )
-    rows.write.option("maxRecordsPerFile", 1).option("compression", "none").text(folder)
+    """Multi-line arrays of records, read back."""
+    folder = scratch_path(spark, "arrays")
+    rows = landing.landing(spark, sf, 10, 6)
+    file_sink.write_arrays(rows, folder, "products", DAYS[6], file_sink.CHUNK_ROWS[10])
     read = landing_source.read_json(spark, folder, LANDING[10], multiline=True)
-    return read.select("title", F.col("location").alias("n_name"), F.col("sold").cast("bigint").alias("units"))
+    return read.select(
+        "title", "location", F.col("category")[0].category_name.alias("category"), F.size("promotions").alias("offers")
+    )
 
 
 @check("SRC-6 SRT-6", f"SELECT '{DAYS[6]}' AS day, max(number) AS number FROM (SELECT 1 AS number FROM lineitem)")
