@@ -112,8 +112,8 @@ def product_columns() -> dict[str, Column]:
             F.col("p_partkey"),
             F.lit("?sp=1"),
         ),
-        "price": price(),
-        "original_price": original_price(),
+        "price": F.col("price"),
+        "original_price": F.col("original_price"),
         "discount_rate": (F.col("p_size").cast("decimal(5,2)") * F.lit("0.01").cast("decimal(5,2)")).cast(
             "decimal(5,2)"
         ),
@@ -129,7 +129,8 @@ def product_columns() -> dict[str, Column]:
 
 
 def dim_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described_pairs(spark, sf_dir).select(*[c.alias(n) for n, c in product_columns().items()])
+    rows = stored(spark, sf_dir, "sold_pairs")
+    return rows.select(*[c.alias(n) for n, c in product_columns().items()])
 
 
 def _platforms() -> Column:
@@ -244,11 +245,17 @@ def listed(date_id: int, day: str) -> Column:
     return F.datediff(F.lit(day).cast("date"), F.col(f"d{date_id}")) <= LISTED_DAYS
 
 
-def _with_location(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
-    supplier = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.col("s_nationkey").cast("bigint").alias("location_id")
-    )
-    return join_large(df, supplier, ["s_suppkey"], "inner")
+def _fact_ids() -> dict[str, Column]:
+    platform = F.col("platform_id")
+    return {
+        "category_id": platform * F.lit(REGION) + F.col("c3"),
+        "brand_id": (platform * 100_000 + F.col("brand_code")),
+        "seller_id": F.col("s_suppkey") + 1,
+        "product_id": F.col("s_suppkey") * PAIR + F.col("p_partkey") + 1,
+        "product_code": F.col("p_partkey").cast("string"),
+        "location_id": F.col("n_nationkey").cast("bigint"),
+        "platform_id": platform,
+    }
 
 
 def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,18 +268,9 @@ def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             for i, day in CUTOFFS
         ]
     )
-    leaf = _category_codes()[-1]
-    rows = _with_location(spark, sf_dir, described_pairs(spark, sf_dir))
-    platform = platform_of(F.col("s_suppkey"))
-    flat = rows.select(
-        (platform * F.lit(REGION) + leaf).alias("category_id"),
-        (platform * 100_000 + brand_code()).alias("brand_id"),
-        (F.col("s_suppkey") + 1).alias("seller_id"),
-        (F.col("s_suppkey") * PAIR + F.col("p_partkey") + 1).alias("product_id"),
-        F.col("p_partkey").cast("string").alias("product_code"),
-        "location_id",
-        platform.alias("platform_id"),
-        price().alias("_price"),
+    flat = stored(spark, sf_dir, "sold_pairs").select(
+        *[c.alias(n) for n, c in _fact_ids().items()],
+        F.col("price").alias("_price"),
         F.explode(F.filter(snapshots, lambda s: s.isNotNull())).alias("s"),
     )
     return flat.select(
@@ -294,10 +292,8 @@ def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_periodic_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth rows by conditional columns: the last snapshot against each earlier one."""
-    leaf = _category_codes()[-1]
     last_id, last_day = CUTOFFS[-1]
     gaps = {1: "60-DAY", 2: "30-DAY", 3: "21-DAY", 4: "14-DAY", 5: "7-DAY"}
-    platform = platform_of(F.col("s_suppkey"))
     growths = F.array(
         *[
             F.when(
@@ -311,24 +307,17 @@ def fact_periodic_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             for i, day in CUTOFFS[:-1]
         ]
     )
-    grown = pairs(spark, sf_dir).withColumn("g", F.explode(F.filter(growths, lambda s: s.isNotNull())))
-    rows = _with_location(
-        spark, sf_dir, join_large(grown, table(spark, sf_dir, "part"), ["p_partkey"], "inner")
-    )
-    product_id = F.col("s_suppkey") * PAIR + F.col("p_partkey") + 1
+    rows = stored(spark, sf_dir, "sold_pairs").withColumn("g", F.explode(F.filter(growths, lambda s: s.isNotNull())))
+    ids = _fact_ids()
     return rows.select(
-        (product_id * 10 + F.col("g.from_id")).alias("snapshot_id"),
+        (ids["product_id"] * 10 + F.col("g.from_id")).alias("snapshot_id"),
         F.lit(last_id).cast("bigint").alias("date_id"),
-        (platform * F.lit(REGION) + leaf).alias("category_id"),
-        (F.col("s_suppkey") + 1).alias("seller_id"),
-        product_id.alias("product_id"),
-        F.col("p_partkey").cast("string").alias("product_code"),
-        (platform * 100_000 + brand_code()).alias("brand_id"),
-        "location_id",
+        *[c.alias(n) for n, c in ids.items()],
         "g.units_sold",
-        (F.col("g.units_sold").cast("decimal(20,0)") * price()).cast("decimal(38,2)").alias("total_sales_amount"),
+        (F.col("g.units_sold").cast("decimal(20,0)") * F.col("price")).cast("decimal(38,2)").alias(
+            "total_sales_amount"
+        ),
         "g.report_period",
-        platform.alias("platform_id"),
     )
 
 

@@ -2,20 +2,21 @@
 
 The right side is broadcast only when Spark's own size estimate of it is under a limit. Beyond
 the limit both sides are shuffled, and keys that hold a large share of the left rows are spread
-over several tasks: their left rows get a salt computed from the row itself, and the matching right
-rows are copied once per salt. Other keys are not copied at all.
+over as many tasks as their share calls for: their left rows get a salt computed from the row and
+its input partition, and the matching right rows are copied once per salt. All shares add up to one
+at most, so the copies of one right row set number no more than the tasks. Other keys are not copied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
-HOT_SHARE = 0.002
-HOT_KEYS = 500
-TRACKED_KEYS = 100_000
-SALTS = 64
+HOT_SHARE = 0.0025
+HOT_KEYS = 400
+TRACKED_KEYS = 4096
+MERGERS = 128
 
 _SUPPORTED = {"inner", "left", "left_semi", "left_anti"}
 
@@ -39,23 +40,43 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
     """Digests of the keys that hold at least the given share of the rows.
 
-    One pass over the key columns with a mergeable sketch; the result has at most HOT_KEYS rows.
-    A key that is reported by mistake only costs some copies, so an approximate count is enough.
+    One pass over the key columns with a frequent-items sketch of fixed size. Sketches are merged in
+    two steps, so that no task merges those of all input tasks. At most 1 / share keys can qualify,
+    which bounds the result. A key reported by mistake only costs some copies, so approximate counts
+    are enough.
     """
-    profile = df.select(F.xxhash64(*keys).alias("_digest")).agg(
-        F.expr(f"approx_top_k(_digest, {HOT_KEYS}, {TRACKED_KEYS})").alias("_top"),
+    digests = df.select(
+        F.xxhash64(*keys).alias("_digest"), F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_merger")
+    )
+    sketches = digests.groupBy("_merger").agg(
+        F.expr(f"approx_top_k_accumulate(_digest, {TRACKED_KEYS})").alias("_sketch"),
         F.count(F.lit(1)).alias("_rows"),
     )
+    merged = sketches.groupBy(F.lit(0).alias("_all")).agg(
+        F.expr(f"approx_top_k_combine(_sketch, {TRACKED_KEYS})").alias("_sketch"), F.sum("_rows").alias("_rows")
+    )
     return (
-        profile.select(F.explode("_top").alias("_entry"), "_rows")
+        merged.select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {HOT_KEYS})")).alias("_entry"), "_rows")
         .where(F.col("_entry.count") >= F.col("_rows") * F.lit(share))
-        .select(F.col("_entry.item").alias("_digest"), F.lit(True).alias("_hot"))
+        .select(F.col("_entry.item").alias("_digest"), (F.col("_entry.count") / F.col("_rows")).alias("_share"))
     )
 
 
-def _row_salt(df: DataFrame, salts: int):
+def _with_salts(df: DataFrame, hot: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """Add `_salts`, the number of pieces of each row's key: 1 for ordinary keys."""
+    pieces = F.greatest(F.lit(2), F.ceil(F.col("_share") * F.lit(2 * tasks)).cast("int"))
+    return (
+        df.withColumn("_digest", F.xxhash64(*keys))
+        .join(F.broadcast(hot), "_digest", "left")
+        .withColumn("_salts", F.when(F.col("_share").isNull(), 1).otherwise(pieces))
+        .drop("_digest", "_share")
+    )
+
+
+def _row_digest(df: DataFrame) -> Column:
+    """Differs between rows, and between copies of a row in different input partitions."""
     hashable = [name for name, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    return F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
+    return F.xxhash64(*hashable, F.spark_partition_id())
 
 
 def salted_join(
@@ -64,28 +85,21 @@ def salted_join(
     keys: list[str],
     how: str = "inner",
     profile: DataFrame | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Shuffle join in which hot keys of the left side are spread over `salts` tasks."""
+    """Shuffle join in which hot keys of the left side are spread over several tasks."""
     if how not in _SUPPORTED:
         raise ValueError(f"{how} join is not supported, use one of {sorted(_SUPPORTED)}")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_keys(profile if profile is not None else left, keys)
-    is_hot = F.col("_hot").isNotNull()
     spread = (
-        left.withColumn("_row_salt", _row_salt(left, salts))
-        .withColumn("_digest", F.xxhash64(*keys))
-        .join(F.broadcast(hot), "_digest", "left")
-        .withColumn("_salt", F.when(is_hot, F.col("_row_salt")).otherwise(F.lit(0)))
-        .drop("_digest", "_hot", "_row_salt")
+        _with_salts(left.withColumn("_row", _row_digest(left)), hot, keys, tasks)
+        .withColumn("_salt", F.pmod(F.col("_row"), F.col("_salts")).cast("int"))
+        .drop("_row", "_salts")
     )
     copies = (
-        right.withColumn("_digest", F.xxhash64(*keys))
-        .join(F.broadcast(hot), "_digest", "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_digest", "_hot")
+        _with_salts(right, hot, keys, tasks)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+        .drop("_salts")
     )
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
