@@ -20,6 +20,8 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.sql.maxMetadataStringLength": "2000",
+            "spark.sql.debug.maxToStringFields": "200",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )

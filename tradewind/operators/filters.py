@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions import contains_ci, csv_items
+from tradewind.functions import contains_ci
 from tradewind.functions.calendar import ACCEPTED_PERIODS
 from tradewind.operators.skew import join_large
 
@@ -47,15 +47,15 @@ def period_match(df: DataFrame, period: str, col: str = "report_period") -> Data
 
 
 def keyword_match(df: DataFrame, keywords: str | None, cols: list[str]) -> DataFrame:
-    """Rows where any comma-separated keyword occurs in any of the columns, case aside."""
+    """Rows where any comma-separated keyword occurs in any of the columns, case aside.
+
+    Each keyword is a constant pattern, so Spark reduces it to a plain substring test where it can.
+    """
     if keywords is None:
         return df
-    items = csv_items(F.lit(keywords))
-
-    def in_any(k: Column) -> Column:
-        return reduce(or_, [F.coalesce(contains_ci(F.col(c), k), F.lit(False)) for c in cols])
-
-    return df.where(F.exists(items, in_any))
+    words = [word.strip(" ") for word in keywords.split(",")]
+    tests = [F.coalesce(contains_ci(F.col(c), F.lit(w)), F.lit(False)) for w in words for c in cols]
+    return df.where(reduce(or_, tests))
 
 
 def in_subtree(df: DataFrame, ids: DataFrame) -> DataFrame:
