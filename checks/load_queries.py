@@ -13,6 +13,7 @@ from tradewind import functions as X
 from tradewind.operators import cleaning, joins, scd, trees, windows
 from tradewind.operators.keys import assign_ids
 from tradewind.operators.sets import union_all
+from tradewind.operators.skew import join_large
 from tradewind.plans import dimensions, facts, growth, incremental, products
 from tradewind.plans.warehouse import Warehouse, staging
 from tradewind.schemas import FACT_KEYS, PERIODIC_KEYS, PRODUCT_KEY
@@ -294,7 +295,7 @@ def brand_lookup(spark: SparkSession, sf: str) -> DataFrame:
 )
 def location_lookup(spark: SparkSession, sf: str) -> DataFrame:
     nation = star.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    named = star.table(spark, sf, "customer").join(F.broadcast(nation), "c_nationkey")
+    named = join_large(star.table(spark, sf, "customer"), nation, ["c_nationkey"], "inner")
     place = F.when(F.col("c_acctbal") >= 0, F.col("n_name")).otherwise("nowhere").alias("location_name")
     rows = named.select("c_custkey", place)
     return joins.lookup_location(rows, star.stored(spark, sf, "dim_location")).select("c_custkey", "location_id")

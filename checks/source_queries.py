@@ -10,14 +10,14 @@ from checks.landing import NO_BRAND, NO_CATEGORY, NO_SELLER, SOLD_SQL, sold_text
 from checks.registry import check
 from checks.star import CUTOFFS, over_star
 from tradewind import functions as X
-from tradewind.operators.sets import union_all
+from tradewind.operators.skew import join_large
 from tradewind.schemas import LANDING
 from tradewind.session import scratch_path
 from tradewind.sinks import files as file_sink
 from tradewind.sinks import tables as table_sink
 from tradewind.sources import landing as landing_source
 from tradewind.sources import pages as page_source
-from tradewind.sources import payloads, requests, storage
+from tradewind.sources import payloads, requests
 from tradewind.sources import tables as table_source
 
 DAYS = dict(CUTOFFS)
@@ -142,9 +142,8 @@ def literal_rows(spark: SparkSession, sf: str) -> DataFrame:
     empty = table_source.rows_to_df(spark, [], schema)
     platforms = rows.unionByName(empty)
     sellers = star.table(spark, sf, "supplier").select(star.platform_of(F.col("s_suppkey")).alias("platform_id"))
-    return sellers.join(F.broadcast(platforms), "platform_id").groupBy("platform_id", "platform_name").agg(
-        F.count("*").alias("sellers")
-    )
+    joined = join_large(sellers, platforms, ["platform_id"], "inner")
+    return joined.groupBy("platform_id", "platform_name").agg(F.count("*").alias("sellers"))
 
 
 @check("SRC-5", "SELECT l_returnflag, sum(l_quantity::BIGINT)::BIGINT AS units FROM lineitem GROUP BY ALL")

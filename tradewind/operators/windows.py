@@ -41,13 +41,19 @@ def with_partition_max(df: DataFrame, col: str, key: list[str], name: str | None
     return join_large(df, max_per_key(df, col, key, name), key, "inner")
 
 
-def rank_snapshots(df: DataFrame, key: list[str], order: str = "date_id") -> DataFrame:
-    """Number the snapshots of a key, newest first.
+def rank_snapshots(df: DataFrame, key: list[str], order: str = "date_id", tie: str = "sale_id") -> DataFrame:
+    """Number the snapshots of a key, newest first; keys are never null in the facts.
 
-    The facts hold one row per key and load date, which bounds a group by the number of loads.
+    Rows are counted per key and date first. The running sum of the counts gives each date its start,
+    and the numbering itself runs inside one key and date, so no task holds all rows of a key.
     """
-    window = Window.partitionBy(*key).orderBy(F.col(order).desc())
-    return df.withColumn("rn", F.row_number().over(window))
+    counts = df.groupBy(*key, order).agg(F.count(F.lit(1)).alias("_rows"))
+    newer = Window.partitionBy(*key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*key, order, F.coalesce(F.sum("_rows").over(newer), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*key, order).orderBy(F.col(tie).desc())
+    numbered = df.withColumn("_rn", F.row_number().over(inside))
+    joined = join_large(numbered, starts, [*key, order], "inner", profile=df)
+    return joined.select(*df.columns, (F.col("_start") + F.col("_rn")).alias("rn"))
 
 
 def longest_period(df: DataFrame, key: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +14,23 @@ from tradewind.sources import storage
 from tradewind.sources.tables import read_table
 
 
-Stage = Callable[[DataFrame, str], DataFrame]
+Stage = Callable[..., DataFrame]
 
 
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[Stage]:
     """Frames written once to the shared folder, because later steps read them several times.
 
-    The written copy also cuts the lineage: a lost executor costs a read, not the steps before.
-    The copies go when the block ends.
+    The block gets `stage(df, label, by=())`, which returns the written copy, laid out by the given
+    columns. It also cuts the lineage: a lost executor costs a read, not the steps before. The copies
+    go when the block ends.
     """
     paths: list[str] = []
 
-    def stage(df: DataFrame, label: str) -> DataFrame:
+    def stage(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
         path = scratch_path(spark, label)
         paths.append(path)
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     try:
