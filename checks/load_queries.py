@@ -690,7 +690,7 @@ def adjusted_fact_delta(spark: SparkSession, sf: str) -> DataFrame:
     return delta.select("product_id", "units_sold", "total_sales_amount")
 
 
-_GROWTH = "date_id, platform_id, category_id, seller_id, product_id, product_code, brand_id, location_id, units_sold, total_sales_amount, report_period"
+_GROWTH = ", ".join(growth.GROWTH_COLUMNS)
 
 
 @check(

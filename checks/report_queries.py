@@ -301,9 +301,9 @@ def price_bands(spark: SparkSession, sf: str) -> DataFrame:
     over_star(
         growth_sql(None, None, "60-DAY")
         + _BANDS
-        + """ SELECT band, price_range, coalesce(sum(amount) FILTER (platform_name = 'shopee'), 0)::BIGINT AS shopee,
-                coalesce(sum(amount) FILTER (platform_name = 'lazada'), 0)::BIGINT AS lazada,
-                coalesce(sum(amount) FILTER (platform_name = 'tiki'), 0)::BIGINT AS tiki
+        + """ SELECT band, price_range, coalesce(sum(amount) FILTER (platform_name = 'P10'), 0)::BIGINT AS "P10",
+                coalesce(sum(amount) FILTER (platform_name = 'P11'), 0)::BIGINT AS "P11",
+                coalesce(sum(amount) FILTER (platform_name = 'P12'), 0)::BIGINT AS "P12"
               FROM banded GROUP BY band, price_range"""
     ),
 )

@@ -11,7 +11,7 @@ from checks.registry import check
 from checks.star import CUTOFFS, over_star
 from tradewind import functions as X
 from tradewind.operators.skew import join_large
-from tradewind.schemas import LANDING
+from tradewind.schemas import LANDING, PLATFORMS
 from tradewind.session import scratch_path
 from tradewind.sinks import files as file_sink
 from tradewind.sinks import tables as table_sink
@@ -133,12 +133,12 @@ def table_scan(spark: SparkSession, sf: str) -> DataFrame:
 @check(
     "SRC-4",
     """SELECT platform_id, platform_name, count(*)::BIGINT AS sellers FROM supplier,
-      (VALUES (10, 'shopee'), (11, 'lazada'), (12, 'tiki')) p(platform_id, platform_name)
+      (VALUES (10, 'P10'), (11, 'P11'), (12, 'P12')) p(platform_id, platform_name)
     WHERE 10 + s_suppkey % 3 = platform_id GROUP BY ALL""",
 )
 def literal_rows(spark: SparkSession, sf: str) -> DataFrame:
     schema = "platform_id int, platform_name string"
-    rows = table_source.rows_to_df(spark, [(10, "shopee"), (11, "lazada"), (12, "tiki")], schema)
+    rows = table_source.rows_to_df(spark, list(PLATFORMS.items()), schema)
     empty = table_source.rows_to_df(spark, [], schema)
     platforms = rows.unionByName(empty)
     sellers = star.table(spark, sf, "supplier").select(star.platform_of(F.col("s_suppkey")).alias("platform_id"))
@@ -252,18 +252,14 @@ def listing_page_records(spark: SparkSession, sf: str) -> DataFrame:
     place = _markup("div", _markup("div", F.col("n_name"), " aria-label='from'"))
     card = _markup("div", F.concat(_markup("div", ""), _markup("div", F.concat(text, prices, sold, place))))
     item = F.concat(F.lit("<li><a href='"), landing._url(), F.lit("'>"), _markup("div", card), F.lit("</a></li>"))
-    main = F.concat(
-        F.lit("<div class='shopee-category-list__main-category'><a href='/cat."), F.col("c0"), F.lit("'>"),
-        F.col("p_type"), F.lit("</a></div>"),
+    main_link = F.concat(F.lit("<a href='/cat."), F.col("c0"), F.lit("'>"), F.col("p_type"), F.lit("</a>"))
+    main = _markup("div", main_link, f" class='{page_source.MAIN_CATEGORY_CLASS}'")
+    sub_link = F.concat(
+        F.lit(f"<a class='x {page_source.SUB_CATEGORY_CLASS}' href='/cat."), F.col("c0"), F.lit("."), F.col("c1"),
+        F.lit("'>sub</a>"),
     )
-    active = F.when(
-        F.col("p_size") <= NO_CATEGORY,
-        F.concat(
-            F.lit("<a class='x shopee-category-list__sub-category--active' href='/cat."), F.col("c0"), F.lit("."),
-            F.col("c1"), F.lit("'>sub</a>"),
-        ),
-    ).otherwise("")
-    items = _markup("ul", item, " class='row shopee-search-item-result__items'")
+    active = F.when(F.col("p_size") <= NO_CATEGORY, sub_link).otherwise("")
+    items = _markup("ul", item, f" class='{page_source.ITEMS_CLASS}'")
     pages = rows.select(_markup("html", F.concat(main, active, items)).alias("html"))
     found = page_source.listing_pages(pages)
     return found.select(

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-# Marketplace numbers and the names used in reports.
-PLATFORMS = {10: "shopee", 11: "lazada", 12: "tiki"}
+# Marketplace numbers. The names are seeded where a warehouse has none yet.
+PLATFORMS = {10: "P10", 11: "P11", 12: "P12"}
 P10, P11, P12 = 10, 11, 12
 
 # Codes and names of the unknown members.

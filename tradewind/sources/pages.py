@@ -20,9 +20,11 @@ _CLOSED_BY_ITSELF = {"p", "li", "tr", "td", "th", "option", "dt", "dd"}
 _BATCH_ROWS = 2_000
 
 # Where a listing page keeps its data.
-LISTING_ITEMS = ".//ul[@class='row shopee-search-item-result__items']/li"
-LISTING_MAIN_CATEGORY = ".//div[@class='shopee-category-list__main-category']/a"
-LISTING_SUB_CATEGORY_CLASS = "shopee-category-list__sub-category--active"
+ITEMS_CLASS = "row shopee-search-item-result__items"
+MAIN_CATEGORY_CLASS = "shopee-category-list__main-category"
+SUB_CATEGORY_CLASS = "shopee-category-list__sub-category--active"
+LISTING_ITEMS = f".//ul[@class='{ITEMS_CLASS}']/li"
+LISTING_MAIN_CATEGORY = f".//div[@class='{MAIN_CATEGORY_CLASS}']/a"
 LISTING_FIELDS = {
     "url": ("./a", "href"),
     "image": ("./a/div/div/div[1]//img[@style='object-fit: contain']", "src"),
@@ -128,7 +130,7 @@ def _category(link: Element | None, parent: str) -> dict:
 def _listing(html: str) -> Iterator[dict]:
     page = _tree(html)
     main = _category(page.find(LISTING_MAIN_CATEGORY), str(UNKNOWN_CODE))
-    active = (a for a in page.iter("a") if LISTING_SUB_CATEGORY_CLASS in a.get("class", ""))
+    active = (a for a in page.iter("a") if SUB_CATEGORY_CLASS in a.get("class", ""))
     category = [main, _category(next(active, None), main["category_id"])]
     for item in page.findall(LISTING_ITEMS):
         found = {name: _value(item, path, attribute) for name, (path, attribute) in LISTING_FIELDS.items()}
