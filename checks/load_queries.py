@@ -328,11 +328,17 @@ def image_with_ids(spark: SparkSession, sf: str, date_id: int) -> DataFrame:
     )
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """A frame as a load would stage it: written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dim_after(spark: SparkSession, sf: str, date_id: int) -> DataFrame:
     """Product dimension after a first load, as a written table."""
-    root = scratch_path(spark, "dim")
-    warehouse = Warehouse(spark, root)
-    image = image_with_ids(spark, sf, date_id)
+    warehouse = Warehouse(spark, scratch_path(spark, "dim"))
+    image = _written(image_with_ids(spark, sf, date_id), "image")
     warehouse.append("dim_product", assign_ids(image, "product_id", PRODUCT_KEY))
     return warehouse.read("dim_product")
 
@@ -385,7 +391,7 @@ def changed_products(spark: SparkSession, sf: str) -> DataFrame:
 )
 def expired_versions(spark: SparkSession, sf: str) -> DataFrame:
     dim = dim_after(spark, sf, 1)
-    keys = joins.changed_products(image_with_ids(spark, sf, 6), dim)
+    keys = _written(joins.changed_products(image_with_ids(spark, sf, 6), dim), "changed")
     return scd.expire_versions(dim, keys, DAYS[6]).select("product_id", "expired_date", "flag")
 
 
@@ -403,7 +409,9 @@ def expired_versions(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def upserted_products(spark: SparkSession, sf: str) -> DataFrame:
-    merged = scd.upsert_products(dim_after(spark, sf, 1), image_with_ids(spark, sf, 6), DAYS[6])
+    dim = dim_after(spark, sf, 1)
+    changes = _written(scd.product_changes(dim, image_with_ids(spark, sf, 6)), "changes")
+    merged = scd.apply_changes(dim, changes, DAYS[6])
     return merged.select("product_id", "product_code", "seller_id", "sold", "effective_date", "expired_date", "flag")
 
 
