@@ -1,6 +1,8 @@
 """Run registered queries next to their oracles and report differences.
 
-usage: python -m checks.compare [--sf DIR] [--only name,name] [--cpus N]
+usage: python -m checks.compare [--sf DIR] [--only name,name] [--cpus N] [--shuffle]
+
+With --shuffle nothing is broadcast by size, so every large join takes the way it takes at scale.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from checks.catalog import CHECKS
+from tradewind.operators import skew
 from tradewind.session import build_session
 
 VIEWS = (
@@ -76,12 +79,13 @@ def main() -> None:
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("--only", default="")
     parser.add_argument("--cpus", type=int, default=8)
+    parser.add_argument("--shuffle", action="store_true")
     args = parser.parse_args()
-    spark = build_session(
-        "checks",
-        f"local[{args.cpus}]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
-    )
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+    if args.shuffle:
+        skew.fits_broadcast = lambda *_: False
+        settings["spark.sql.autoBroadcastJoinThreshold"] = "-1"
+    spark = build_session("checks", f"local[{args.cpus}]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     wanted = [n for n in args.only.split(",") if n] or list(CHECKS)
     bad = 0

@@ -33,15 +33,19 @@ def lookup_location(df: DataFrame, dim: DataFrame, profile: DataFrame | None = N
     return lookup(df, dim, ["location_name"], "location_id", F.lit(UNKNOWN_LOCATION_ID).cast("bigint"), profile)
 
 
-def attach_product(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
+def attach_product(fact: DataFrame, dim_product: DataFrame, unique: bool = False) -> DataFrame:
     """Facts with id and measures of the current product version; others drop out."""
     current = dim_product.where("flag").select(*PRODUCT_KEY, "product_id", "sold", "price")
-    return join_large(fact, current, PRODUCT_KEY, "inner")
+    return join_large(fact, current, PRODUCT_KEY, "inner", unique=unique)
 
 
-def new_rows(image: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the image whose natural key is not in the table; a null key is always new."""
-    return join_large(image, dim.select(*keys).distinct(), keys, "left_anti").select(*image.columns)
+def new_rows(image: DataFrame, dim: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
+    """Rows of the image whose natural key is not in the table; a null key is always new.
+
+    `unique` says that the image has one row per key, as after `dedupe`.
+    """
+    stored = dim.select(*keys).distinct()
+    return join_large(image, stored, keys, "left_anti", unique=unique).select(*image.columns)
 
 
 def new_products(image: DataFrame, dim: DataFrame) -> DataFrame:
@@ -58,17 +62,17 @@ def changed_products(
     return joined.where(any_changed("_new", "_old", cols, null_safe)).select(*image.columns)
 
 
-def new_facts(image: DataFrame, fact: DataFrame, keys: list[str]) -> DataFrame:
+def new_facts(image: DataFrame, fact: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
     """Fact rows whose key combination was never stored; a null in the key counts as new."""
-    return new_rows(image, fact, keys)
+    return new_rows(image, fact, keys, unique)
 
 
-def new_periodic(growth: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def new_periodic(growth: DataFrame, table: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
     """Growth rows not stored yet; neither date nor period belongs to the key."""
-    return new_rows(growth, table, keys)
+    return new_rows(growth, table, keys, unique)
 
 
-def with_previous(image: DataFrame, latest: DataFrame) -> DataFrame:
+def with_previous(image: DataFrame, latest: DataFrame, unique: bool = False) -> DataFrame:
     """Rows with the units and amount of the previous snapshot, null where there is none."""
     previous = latest.select(
         *PRODUCT_KEY,
@@ -76,7 +80,7 @@ def with_previous(image: DataFrame, latest: DataFrame) -> DataFrame:
         F.col("units_sold").alias("prev_units_sold"),
         F.col("total_sales_amount").alias("prev_total_sales_amount"),
     )
-    return join_large(image, previous, PRODUCT_KEY, "left")
+    return join_large(image, previous, PRODUCT_KEY, "left", unique=unique)
 
 
 def against_latest(snapshots: DataFrame, key: list[str], order: str = "date_id", tie: str = "sale_id") -> DataFrame:
@@ -109,10 +113,16 @@ def newest_snapshot_keys(facts: DataFrame, key: list[str]) -> DataFrame:
     return at_global_max(max_per_key(facts, "date_id", key, "date_id"), "date_id")
 
 
-def star(fact: DataFrame, dims: Mapping[str, DataFrame], profile: DataFrame | None = None) -> DataFrame:
+def star(
+    fact: DataFrame,
+    dims: Mapping[str, DataFrame],
+    profile: DataFrame | None = None,
+    single: bool = False,
+) -> DataFrame:
     """Facts with the attributes of seven dimensions; products only in their current version.
 
     Every dimension is cut to the joined columns first. Inner joins drop rows without a member.
+    `single` says that the facts have one row per product, so the product join has no hot key.
     """
     sides = [
         ("dim_product", ["product_id"], [c for c in dims["dim_product"].columns if c.startswith("product_")]),
@@ -132,5 +142,5 @@ def star(fact: DataFrame, dims: Mapping[str, DataFrame], profile: DataFrame | No
             dim = dim.where("flag").select(*keys, *names, *extra)
         else:
             dim = dim.select(*keys, *attributes)
-        result = join_large(result, dim, keys, "inner", profile=profile)
+        result = join_large(result, dim, keys, "inner", profile, unique=single and name == "dim_product")
     return result

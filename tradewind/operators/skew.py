@@ -110,13 +110,17 @@ def join_large(
     keys: list[str],
     how: str = "inner",
     profile: DataFrame | None = None,
+    unique: bool = False,
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Join a large left side: broadcast a right side of checked size, else a salted shuffle join.
 
     `profile` may name a cheaper frame with the same key distribution as the left side, for
-    example the bare fact table under a chain of joins.
+    example the bare fact table under a chain of joins. With `unique` the caller knows that no key
+    occurs twice on the left, so there is nothing to spread and no pass to look for it.
     """
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), keys, how)
+    if unique:
+        return left.join(right, keys, how)
     return salted_join(left, right, keys, how, profile)

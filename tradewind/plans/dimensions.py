@@ -47,7 +47,7 @@ def with_ids_after(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
 def insert_new(warehouse: Warehouse, name: str, image: DataFrame, stage: Stage) -> None:
     """Append what the dimension lacks; the new rows are found once and then numbered."""
     table = warehouse.read(name)
-    fresh = stage(new_rows(image, table, NATURAL_KEYS[name][1]), name)
+    fresh = stage(new_rows(image, table, NATURAL_KEYS[name][1], unique=True), name)
     if not fresh.isEmpty():
         warehouse.append(name, with_ids_after(fresh, table, name))
 
@@ -141,7 +141,8 @@ def category_additions(fresh: DataFrame, dim_category: DataFrame) -> DataFrame:
 
 def load_categories(warehouse: Warehouse, tree: DataFrame, stage: Stage) -> None:
     table = warehouse.read("dim_category")
-    fresh = stage(new_rows(category_rows(tree), table, NATURAL_KEYS["dim_category"][1]), "dim_category")
+    keys = NATURAL_KEYS["dim_category"][1]
+    fresh = stage(new_rows(category_rows(tree), table, keys, unique=True), "dim_category")
     if not fresh.isEmpty():
         warehouse.append("dim_category", category_additions(fresh, table))
 

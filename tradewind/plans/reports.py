@@ -51,7 +51,7 @@ def growth_report(
     facts = where_opt(tables["fact_periodic_sales"], "platform_id", platform_id)
     recent = positive(latest_rows(facts, PRODUCT_KEY), ["units_sold", "total_sales_amount"])
     chosen = longest_period(period_match(recent, period), PRODUCT_KEY)
-    wide = star(_in_category(chosen, tables, platform_id, category_id), tables, profile=facts)
+    wide = star(_in_category(chosen, tables, platform_id, category_id), tables, facts, single=True)
     return keyword_match(wide, keywords, KEYWORD_COLUMNS).select(
         F.col("snapshot_id").alias("id"),
         "date_id",
@@ -88,7 +88,7 @@ def sales_report(
     """Latest sales snapshot of each product."""
     facts = where_opt(tables["fact_sales"], "platform_id", platform_id)
     recent = positive(latest_rows(facts, PRODUCT_KEY), ["units_sold", "total_sales_amount"])
-    wide = star(_in_category(recent, tables, platform_id, category_id), tables, profile=facts)
+    wide = star(_in_category(recent, tables, platform_id, category_id), tables, facts, single=True)
     return keyword_match(wide, keywords, KEYWORD_COLUMNS).select(
         F.col("sale_id").alias("id"),
         "date_id",
