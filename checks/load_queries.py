@@ -694,7 +694,8 @@ def adjusted_fact_delta(spark: SparkSession, sf: str) -> DataFrame:
     image = sales.where("date_id = 6").withColumns(
         {"product_id": F.col("product_id") + 1, "units_sold": F.col("units_sold") + 2}
     )
-    delta = facts.fact_delta(image.select(*facts.FACT_COLUMNS), sales.where("date_id < 6"), FACT_KEYS[12])
+    older = sales.where("date_id < 6")
+    delta = facts.fact_delta(image.select(*facts.FACT_COLUMNS), older, FACT_KEYS[12], stage=_written)
     return delta.select("product_id", "units_sold", "total_sales_amount")
 
 
