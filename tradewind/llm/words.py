@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_PARTS = 300_000
+CACHE_PARTS = 1_000_000
 #: Parts longer than this are encoded but not kept.
 KEPT_CHARS = 48
 CALL_PARTS = 2_000
@@ -89,7 +89,8 @@ class PartEncoder:
                 rest.append(part)
             else:
                 found[part] = b""
-        ids = self._model_ids(list(set(stems.values())))
+        ids = {stem: self.cache[stem] for stem in set(stems.values()) if stem in self.cache}
+        ids.update(self._model_ids(list(set(stems.values()).difference(ids))))
         ends = {mark: self._library_ids([mark])[0] for mark in ".,"} if stems else {}
         for part, stem in stems.items():
             found[part] = ids[stem] + (ends[part[-1]] if part[-1] in ends else b"")
