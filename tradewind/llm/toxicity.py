@@ -39,8 +39,8 @@ EVIDENCE = 24.0
 PRECISION = 0.98
 WINDOW = 24
 PIECE = 64
-KNOWN_WORDS = 300_000
-GROUP_CHARS = 2 << 20
+KNOWN_WORDS = 150_000
+GROUP_CHARS = 1 << 19
 SPAN_ODDS = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
