@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.session import scratch_path
@@ -46,8 +44,9 @@ def filter_by_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str, rows
     return df.join(keys.hint("shuffle_hash"), on, how)
 
 
-def map_batches(df: DataFrame, convert: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(convert, schema)
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of a row in one, so that none can clash with columns that an operator adds."""
+    return F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("_doc")
 
 
 def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm import fuse
-from tradewind.llm.common import Stage, filter_by_keys, text_bytes
+from tradewind.llm.common import Stage, filter_by_keys, text_bytes, whole_rows
 
 BUCKET_KEYS = 200_000
 BATCHES = 2
@@ -164,9 +164,9 @@ def kept_documents(docs: DataFrame, batches: int = BATCHES, bucket_keys: int = B
     found = decisions(docs, batches, bucket_keys).select(*marks, "_sha", "kept")
     tally = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.max("kept").alias("_kept"))
     away = stage.put(tally.where("NOT _kept OR _rows > 1"), "away")
-    tagged = digested(docs, docs.columns).select("*", *marks)
+    tagged = digested(docs.select(whole_rows(docs), *marks, "text"), ["_doc", "_id", "_none"])
     left = filter_by_keys(tagged, away.select(keys), keys, "left_anti", away.count())
     again = away.where("_kept")
     if not again.isEmpty():
         left = left.unionByName(tagged.join(again.select(keys), keys, "left_semi").dropDuplicates(keys))
-    return left.select(docs.columns)
+    return left.select("_doc.*")

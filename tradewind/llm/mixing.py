@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import Stage, bounded
+from tradewind.llm.common import Stage, bounded, whole_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int =
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
     """The documents taken, each as many times as the mix takes it, with all their columns."""
     stage = Stage(docs.sparkSession, "mix")
-    tagged = docs.select("*", _source_key().alias("_source"), row_hash().alias("_hash"))
+    tagged = docs.select(whole_rows(docs), _source_key().alias("_source"), row_hash().alias("_hash"))
     rows = docs.select(_source_key().alias("_source"), word_count().alias("_size"), row_hash().alias("_hash"))
     items = stage.put(rows, "rows")
     found = _decided(docs, items, stage, weights, most_times)
@@ -146,4 +146,4 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_
     more = F.coalesce(F.col("_hash") < F.col("_below"), F.lit(False)).cast("int")
     copies = F.least(F.col("_times") + more, F.lit(most_times))
     joined = tagged.join(bounded(plan, plan.count(), 64), "_source").withColumn("_copies", copies).where("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

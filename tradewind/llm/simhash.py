@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import Stage, bounded, filter_by_keys
+from tradewind.llm.common import Stage, bounded, filter_by_keys, whole_rows
 from tradewind.llm.components import roots
 
 WORDS = 4
@@ -192,6 +192,6 @@ def kept_documents(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -
     stage = Stage(docs.sparkSession, "simhash")
     rows, found = _components(docs, words, most, stage)
     away = stage.put(rows.join(found, "_print").where("doc_id <> component_id").select("doc_id").distinct(), "away")
-    numbered = docs.withColumn("_id", F.col("doc_id").cast("bigint"))
+    numbered = docs.select(whole_rows(docs), F.col("doc_id").cast("bigint").alias("_id"))
     gone = away.withColumnRenamed("doc_id", "_id")
-    return filter_by_keys(numbered, gone, ["_id"], "left_anti", away.count(), 24).select(docs.columns)
+    return filter_by_keys(numbered, gone, ["_id"], "left_anti", away.count(), 24).select("_doc.*")

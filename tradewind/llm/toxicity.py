@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm import crf
+from tradewind.llm.common import whole_rows
 from tradewind.llm.words import byte_groups
 
 TOXIC_DOCS = 1200
@@ -212,4 +213,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with a score below one half, with all their columns."""
-    return scored(docs, fitted(labelled, labels), docs.columns).where("_score < 0.5").select(docs.columns)
+    rows = docs.select(whole_rows(docs), "text")
+    return scored(rows, fitted(labelled, labels), ["_doc"]).where("_score < 0.5").select("_doc.*")
