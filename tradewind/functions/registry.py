@@ -23,7 +23,8 @@ SQL_FUNCTIONS = {
     "discount_rate": (
         "s STRING",
         "DECIMAL(5,2)",
-        r"try_cast(try_cast(trim(replace(s, '% Off', '')) AS DECIMAL(20,6)) / 100 AS DECIMAL(5,2))",
+        r"try_cast(try_cast(regexp_replace(replace(s, '% Off', ''), r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '')"
+        r" AS DECIMAL(20,6)) / 100 AS DECIMAL(5,2))",
     ),
     "product_id_from_url": ("s STRING", "STRING", r"nullif(regexp_extract(s, r'i\.\d+\.(\d+)\?', 1), '')"),
     "period_label": (

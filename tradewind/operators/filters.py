@@ -49,10 +49,13 @@ def period_match(df: DataFrame, period: str, col: str = "report_period") -> Data
 def keyword_match(df: DataFrame, keywords: str | None, cols: list[str]) -> DataFrame:
     """Rows where any comma-separated keyword occurs in any of the columns, case aside.
 
+    An empty text holds no keyword, so no row matches; an empty item of a list matches every text.
     Each keyword is a constant pattern, so Spark reduces it to a plain substring test where it can.
     """
     if keywords is None:
         return df
+    if keywords == "":
+        return df.where(F.lit(False))
     words = [word.strip(" ") for word in keywords.split(",")]
     tests = [F.coalesce(contains_ci(F.col(c), F.lit(w)), F.lit(False)) for w in words for c in cols]
     return df.where(reduce(or_, tests))

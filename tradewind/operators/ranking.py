@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tradewind.operators.keys import group_offsets, key_digest
 
 PAGE_SIZE = 10
-PAGES_PER_BATCH = 15
 SHALLOW_ROWS = 10_000
 SLICES = 200
 _HEX_DIGITS = 2
@@ -25,23 +24,27 @@ def top_k(df: DataFrame, col: str, k: int, ties: Sequence[str] = ("name",)) -> D
     return df.orderBy(F.col(col).desc(), *ties).limit(k)
 
 
-def numbered(df: DataFrame, measure: str, key: list[str], slices: int = SLICES) -> DataFrame:
-    """Position of every row by measure, highest first, without one task holding all rows.
+def numbered(df: DataFrame, measure: str, key: list[str], slices: int | None = None) -> DataFrame:
+    """Position of every row by measure, highest first and null last, without one task holding all rows.
 
     Approximate quantiles cut the measure into slices of similar size. A value that fills a slice
     of its own is split further by the digest of the key, which is also the tie order. Counts per
     slice give the start positions, and each slice is numbered on its own, so positions are exact.
+    There are twice as many slices as shuffle partitions, and no fewer than SLICES.
     """
+    if slices is None:
+        slices = max(SLICES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [(i + 1) / slices for i in range(slices)]
     cuts = df.agg(F.percentile_approx(measure, shares, 10_000)).first()[0] or []
     points = sorted(set(cuts))
     bounds = F.array(*[F.lit(p) for p in points]) if points else F.array().cast("array<double>")
     above = F.size(F.filter(bounds, lambda p: p > F.col(measure)))
-    is_cut = F.array_contains(bounds, F.col(measure)) if points else F.lit(False)
+    is_null = F.col(measure).isNull()
+    is_cut = F.coalesce(F.array_contains(bounds, F.col(measure)), F.lit(False)) if points else F.lit(False)
     tagged = (
         df.withColumn("_digest", key_digest(key))
-        .withColumn("_slice", above * 2 + F.when(is_cut, 1).otherwise(0))
-        .withColumn("_part", F.when(is_cut, F.substring("_digest", 1, _HEX_DIGITS)).otherwise(""))
+        .withColumn("_slice", F.when(is_null, 2 * len(points) + 2).otherwise(above * 2 + F.when(is_cut, 1).otherwise(0)))
+        .withColumn("_part", F.when(is_cut | is_null, F.substring("_digest", 1, _HEX_DIGITS)).otherwise(""))
     )
     counts = tagged.groupBy("_slice", "_part").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = group_offsets(counts, [F.col("_slice"), F.col("_part")]).select("_slice", "_part", "_offset")

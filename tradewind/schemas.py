@@ -111,3 +111,6 @@ PARTITIONS = {
     "fact_sales": ["platform_id", "date_id"],
     "fact_periodic_sales": ["platform_id"],
 }
+
+# Fixed value: the marketplace whose landing files are indented arrays over several lines.
+MULTILINE_LANDING = frozenset({P10})
