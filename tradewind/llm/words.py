@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 690_000
 #: Parts longer than this are encoded but not kept.
 KEPT_CHARS = 48
 CALL_PARTS = 2_000
