@@ -142,6 +142,21 @@ def test_simhash_links_chains_and_hot_entries(spark, monkeypatch):
     assert sorted(map(sorted, joined.values())) == sorted(sorted(g) for g in expected.values() if len(g) > 1)
 
 
+@pytest.mark.parametrize("hub_edges", [4, 100_000])
+def test_components_with_hubs(spark, hub_edges):
+    from tradewind.llm.common import Stage
+    from tradewind.llm.components import roots
+
+    star = [(0, k) for k in range(1, 60)]
+    path = [(k, k + 1) for k in range(200, 230)]
+    inner = [(400, 300), *((400, k) for k in range(401, 430)), (300, 301)]
+    pairs = [*star, *path, *inner, (0, 5), (9, 9)]
+    found = roots(spark.createDataFrame(pairs, "a bigint, b bigint"), Stage(spark, "test"), hub_edges)
+    expected = {k: 0 for k in range(1, 60)} | {k: 200 for k in range(201, 231)} | {k: 300 for k in (301, *range(400, 430))}
+    assert {r.node: r.root for r in found.collect()} == expected
+    assert not roots(spark.createDataFrame([], "a bigint, b bigint"), Stage(spark, "test"), hub_edges).count()
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     sizes = {}
