@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tradewind.llm.words import VOCABULARY, byte_groups, encoder, parts
+from tradewind.llm.words import CACHE_PARTS, VOCABULARY, byte_groups, encoder, parts
 
 LIMIT = 2048
 CLOSING_ID = 1
@@ -160,11 +160,18 @@ def sentence_ends(vocabulary: dict[str, int]) -> np.ndarray:
     return table
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, closing_id: int = CLOSING_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    vocabulary: str = VOCABULARY,
+    limit: int = LIMIT,
+    closing_id: int = CLOSING_ID,
+    block_tokens: int = BLOCK_TOKENS,
+    cache_parts: int = CACHE_PARTS,
+) -> DataFrame:
     """One row per piece of a document, with its place in a sequence."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(vocabulary, cache_parts)
         table = sentence_ends(own.vocabulary())
         closing = np.array([closing_id], dtype="<u4").tobytes()
         stream = _Stream(limit, table, TaskContext.get().partitionId() << 33)

@@ -116,14 +116,15 @@ class PartEncoder:
         return [np.array(one.ids, dtype="<u4").tobytes() for one in encoded]
 
 
-_ENCODERS: dict[str, PartEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PartEncoder] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY) -> PartEncoder:
+def encoder(vocabulary: str = VOCABULARY, cache_parts: int = CACHE_PARTS) -> PartEncoder:
     """The worker's own encoder; its cache lives on between the tasks of one worker."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = PartEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    key = vocabulary, cache_parts
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PartEncoder(vocabulary, cache_parts)
+    return _ENCODERS[key]
 
 
 def byte_groups(sizes: list[int], most: int) -> list[tuple[int, int]]:
