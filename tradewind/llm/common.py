@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +35,21 @@ class Stage:
         storage.remove(self.spark, f"{self.root}/{name}")
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most_bytes: int) -> Iterator[None]:
+    """Jobs started within give their workers Arrow batches of about this many bytes, or one longer row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Mark a frame for broadcast if its counted rows are few enough; otherwise it is joined by shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
