@@ -420,11 +420,10 @@ def filter_optional(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "FLT-4",
-    over_star("SELECT snapshot_id FROM fact_periodic_sales WHERE units_sold > 0 AND total_sales_amount > 0"),
+    "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_nationkey > 0",
 )
 def filter_positive(spark: SparkSession, sf: str) -> DataFrame:
-    facts = star.stored(spark, sf, "fact_periodic_sales")
-    return filters.positive(facts, ["units_sold", "total_sales_amount"]).select("snapshot_id")
+    return filters.positive(star.table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"]).select("c_custkey")
 
 
 @check(

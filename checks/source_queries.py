@@ -21,6 +21,7 @@ from tradewind.sources import payloads, requests
 from tradewind.sources import tables as table_source
 
 DAYS = dict(CUTOFFS)
+_DAY_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({date_id}, '{day}')" for date_id, day in CUTOFFS) + ") days(date_id, day)"
 
 
 # ---- readers and writers of landing files ----
@@ -28,10 +29,8 @@ DAYS = dict(CUTOFFS)
 
 def _chunked(spark: SparkSession, sf: str, platform_id: int, kind: str, rows: int) -> str:
     folder = scratch_path(spark, "landing")
-    for date_id in (5, 6):
-        file_sink.write_chunks(
-            landing.landing(spark, sf, platform_id, date_id), folder, kind, DAYS[date_id], rows
-        )
+    for date_id, day in DAYS.items():
+        file_sink.write_chunks(landing.landing(spark, sf, platform_id, date_id), folder, kind, day, rows)
     return folder
 
 
@@ -39,15 +38,15 @@ def _chunked(spark: SparkSession, sf: str, platform_id: int, kind: str, rows: in
     "SRC-1 SNK-2",
     over_star(
         f"""SELECT date_id, p_partkey::VARCHAR AS product_id, CASE WHEN p_size <> {NO_SELLER} THEN s_suppkey END AS seller,
-          units FROM listing WHERE platform_id = 12 AND date_id IN (5, 6)"""
+          units FROM listing WHERE platform_id = 12"""
     ),
 )
 def landing_scan(spark: SparkSession, sf: str) -> DataFrame:
     folder = _chunked(spark, sf, 12, "details", 1_000)
     rows = landing_source.with_file_date(landing_source.read_json(spark, folder, LANDING[12]))
-    day = F.when(F.col("file_date") == F.lit(DAYS[5]).cast("date"), 5).otherwise(6)
+    numbers = F.coalesce(*[F.when(F.col("file_date") == F.lit(day).cast("date"), date_id) for date_id, day in DAYS.items()])
     return rows.select(
-        day.cast("bigint").alias("date_id"),
+        numbers.cast("bigint").alias("date_id"),
         "product_id",
         F.col("data.current_seller.id").alias("seller"),
         F.col("data.all_time_quantity_sold").alias("units"),
@@ -72,17 +71,10 @@ def multiline_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@check("SRC-6 SRT-6", f"SELECT '{DAYS[6]}' AS day, max(number) AS number FROM (SELECT 1 AS number FROM lineitem)")
+@check("SRC-6 SRT-6", over_star(f"SELECT max(day) AS day FROM listing JOIN ({_DAY_SQL}) USING (date_id) WHERE platform_id = 12"))
 def most_recent_file(spark: SparkSession, sf: str) -> DataFrame:
-    folder = scratch_path(spark, "landing")
-    for date_id in (5, 6):
-        rows = landing.landing(spark, sf, 12, date_id)
-        file_sink.write_chunks(rows, folder, "details", DAYS[date_id], 1_000_000, tasks=1)
-    latest = landing_source.latest_file(spark, folder, "details")
-    return latest.select(
-        F.regexp_extract("name", landing_source.FILE_DATE, 1).alias("day"),
-        F.regexp_extract("name", r"-(\d+)\.json$", 1).cast("int").alias("number"),
-    )
+    latest = landing_source.latest_file(spark, _chunked(spark, sf, 12, "details", 1_000_000), "details")
+    return latest.select(F.regexp_extract("name", landing_source.FILE_DATE, 1).alias("day"))
 
 
 @check(
@@ -98,8 +90,8 @@ def newest_batch(spark: SparkSession, sf: str) -> DataFrame:
 @check(
     "SNK-2",
     over_star(
-        """SELECT count(*) AS records, true AS within_limit, true AS enough_files
-        FROM listing WHERE platform_id = 11 AND date_id IN (5, 6)"""
+        f"""SELECT day, count(*) AS records, true AS within_limit, true AS enough_files
+        FROM listing JOIN ({_DAY_SQL}) USING (date_id) WHERE platform_id = 11 GROUP BY day"""
     ),
 )
 def chunk_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +101,8 @@ def chunk_sizes(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("_metadata.file_name").alias("file"))
         .agg(F.count("*").alias("n"))
     )
-    return per_file.agg(
+    day = F.regexp_extract("file", landing_source.FILE_DATE, 1).alias("day")
+    return per_file.groupBy(day).agg(
         F.sum("n").alias("records"),
         (F.max("n") <= 50).alias("within_limit"),
         (F.count("*") >= F.ceil(F.sum("n") / 50)).alias("enough_files"),
@@ -154,12 +147,12 @@ def registered_view(spark: SparkSession, sf: str) -> DataFrame:
 
 @check(
     "SNK-1",
-    over_star("SELECT sale_id, date_id, platform_id, units_sold FROM fact_sales WHERE date_id IN (5, 6)"),
+    over_star("SELECT sale_id, date_id, platform_id, units_sold FROM fact_sales"),
 )
 def appended_table(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "append")
     sales = star.stored(spark, sf, "fact_sales")
-    for date_id in (5, 6):
+    for date_id in DAYS:
         table_sink.append_table(sales.where(F.col("date_id") == date_id), "fact_sales", root)
     return table_source.read_table(spark, "fact_sales", root).select("sale_id", "date_id", "platform_id", "units_sold")
 
@@ -605,7 +598,10 @@ def json_fields(spark: SparkSession, sf: str) -> DataFrame:
 @check(
     "UDF-1",
     f"""SELECT l_orderkey, l_linenumber, ({SOLD_SQL})::BIGINT AS sold, (units / 100)::DECIMAL(5,2) AS rate,
-      'HÀ NỘI' AS place FROM (SELECT *, l_quantity::BIGINT AS units FROM lineitem)""",
+      'Hà Nội ' || l_returnflag AS place, l_partkey::VARCHAR AS product_id,
+      CASE WHEN units < 8 THEN '7-DAY' WHEN units < 15 THEN '14-DAY' WHEN units < 22 THEN '21-DAY'
+        WHEN units < 31 THEN '30-DAY' ELSE '60-DAY' END AS period
+    FROM (SELECT *, l_quantity::BIGINT AS units FROM lineitem)""",
 )
 def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     X.register_functions(spark)
@@ -614,10 +610,14 @@ def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         sold_text(units).alias("sold_text"),
-        F.concat(units.cast("string"), F.lit("% Off")).alias("rate_text"),
+        F.concat(F.lit("\t"), units.cast("string"), F.lit("\u00a0% Off")).alias("rate_text"),
+        F.concat(F.lit("|TP.\u00a0Hà Nội - "), "l_returnflag", F.lit("\u2003")).alias("place_text"),
+        F.concat_ws(".", F.lit("https://shop.example.com/a-i"), "l_suppkey", F.concat("l_partkey", F.lit("?sp=1"))).alias("url"),
+        units.cast("int").alias("days"),
     )
     view = table_source.as_view(texts, "texts")
     return spark.sql(
         f"""SELECT l_orderkey, l_linenumber, sold_count(sold_text) AS sold, discount_rate(rate_text) AS rate,
-          upper(clean_location('|Hà Nội')) AS place FROM {view}"""
+          clean_location(place_text) AS place, product_id_from_url(url) AS product_id, period_label(days) AS period
+        FROM {view}"""
     )
