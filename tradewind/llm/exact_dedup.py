@@ -35,8 +35,11 @@ DIGEST_BYTES = 32
 TEXT_BYTES = 8 << 20
 
 
-def digested(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataFrame:
-    """The kept columns, the SHA-256 of the normalised text, and on demand that text."""
+def digested(docs: DataFrame, keep: list[str], with_text: bool = False, inside: tuple[str, int] | None = None) -> DataFrame:
+    """The kept columns, the SHA-256 of the normalised text, and on demand that text.
+
+    The text is the column of that name, or `inside` a kept struct column the field at a place.
+    """
     names = [*keep, "_sha", *(["_norm"] if with_text else [])]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +47,8 @@ def digested(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataF
             step = max(1, int(whole.num_rows * TEXT_BYTES / max(TEXT_BYTES, whole.nbytes)))
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
-                body, offsets = text_bytes(batch.column("_text"))
+                texts = batch.column(inside[0]).field(inside[1]) if inside else batch.column("_text")
+                body, offsets = text_bytes(texts)
                 body = body.lower()  # of bytes: A-Z only
                 view, at = memoryview(body), offsets.tolist()
                 digests = [hashlib.sha256(view[a:b]).digest() for a, b in zip(at, at[1:], strict=False)]
@@ -55,7 +59,8 @@ def digested(docs: DataFrame, keep: list[str], with_text: bool = False) -> DataF
 
     fields = [f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep]
     kinds = ", ".join([*fields, "_sha binary", *(["_norm binary"] if with_text else [])])
-    return docs.select(*[F.col(name) for name in keep], F.col("text").alias("_text")).mapInArrow(convert, kinds)
+    texts = [] if inside else [F.col("text").alias("_text")]
+    return docs.select(*[F.col(name) for name in keep], *texts).mapInArrow(convert, kinds)
 
 
 def _key() -> Column:
@@ -164,7 +169,8 @@ def kept_documents(docs: DataFrame, batches: int = BATCHES, bucket_keys: int = B
     found = decisions(docs, batches, bucket_keys).select(*marks, "_sha", "kept")
     tally = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.max("kept").alias("_kept"))
     away = stage.put(tally.where("NOT _kept OR _rows > 1"), "away")
-    tagged = digested(docs.select(whole_rows(docs), *marks, "text"), ["_doc", "_id", "_none"])
+    place = [name.lower() for name in docs.columns].index("text")
+    tagged = digested(docs.select(whole_rows(docs), *marks), ["_doc", "_id", "_none"], inside=("_doc", place))
     left = filter_by_keys(tagged, away.select(keys), keys, "left_anti", away.count())
     again = away.where("_kept")
     if not again.isEmpty():

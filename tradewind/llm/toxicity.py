@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm import crf
-from tradewind.llm.common import whole_rows
 from tradewind.llm.words import byte_groups
 
 TOXIC_DOCS = 1200
@@ -213,5 +212,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with a score below one half, with all their columns."""
-    rows = docs.select(whole_rows(docs), "text")
-    return scored(rows, fitted(labelled, labels), ["_doc"]).where("_score < 0.5").select("_doc.*")
+    model = fitted(labelled, labels)
+    place = [name.lower() for name in docs.columns].index("text")
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(model)
+        for batch in batches:
+            texts = [text or "" for text in batch.column(place).to_pylist()]
+            for first, last in byte_groups([len(text) for text in texts], GROUP_CHARS):
+                highest, expected, _ = tagger.read(texts[first:last])
+                yield batch.slice(first, last - first).filter(pa.array(model.document(highest, expected) < 0.5))
+
+    return docs.mapInArrow(convert, docs.schema)
