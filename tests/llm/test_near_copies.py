@@ -1,0 +1,73 @@
+"""Near copies of the pipeline against the similarity of all pairs."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from tradewind.llm import near_copies
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_kept(rows):
+    """Rows (doc_id, text) that stay, by comparing all pairs."""
+    sets = [shingle_set(text) for _, text in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            either = len(sets[a] | sets[b])
+            if (len(sets[a] & sets[b]) / either if either else 1.0) >= 0.8 and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if one == high else one for one in group]
+    least = {}
+    for (doc_id, _), one in zip(rows, group, strict=True):
+        if doc_id is not None:
+            least[one] = min(doc_id, least.get(one, doc_id))
+    return [row for row, one in zip(rows, group, strict=True) if row[0] is None or row[0] == least[one]]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(5)
+    found = []
+    for base in range(25):
+        words = [f"w{base}x{k}" for k in rng.integers(0, 400, int(rng.integers(60, 400)))]
+        for _ in range(8):
+            copy = list(words)
+            for place in rng.integers(0, len(words), int(rng.integers(0, max(2, len(words) // 30)))):
+                copy[place] = f"new{rng.integers(0, 10**9)}"
+            found.append(" ".join(copy))
+    found += [None, "", "two words", "Two Words", "some other short text of its own"]
+    order = rng.permutation(len(found))
+    return [(int(k), found[k]) for k in order] + [(None, found[0]), (None, "no id, no copy")]
+
+
+def test_near_dedup_removes_every_pair_of_similarity_four_fifths(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = corpus_pipeline.unlike(spark, docs, "")
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert got == sorted((str(i), str(t)) for i, t in slow_kept(rows))
+    assert kept.columns == docs.columns
+    assert corpus_pipeline.unlike(spark, docs.where("doc_id < 0"), "").count() == 0
+
+
+def test_one_id_with_several_texts_leaves_each_group_a_document(spark):
+    one, two = (" ".join(f"{name}{k}" for k in range(80)) for name in ("a", "b"))
+    rows = [(2, one), (3, f"{one} tail"), (1, two), (2, f"{two} tail"), (5, "alone it is"), (5, "alone it is")]
+    got = near_copies.kept_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, two), (2, one), (5, "alone it is"), (5, "alone it is")]
+
+
+def test_a_large_group_needs_few_comparisons(spark, monkeypatch):
+    seen = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    base = [f"word{k}" for k in range(300)]
+    rows = [(n, " ".join([*base, f"end{n}"])) for n in range(400)]
+    assert near_copies.kept_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 1
+    assert seen[0] < 32 * 400 and seen[1] == 0
