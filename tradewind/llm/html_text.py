@@ -1,14 +1,17 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks at block elements. The first pass looks at each block alone: blocks in menus,
-headers, footers, sidebars, notices, adverts, forms and comments (by element, or by a word of its class,
-id or role) and blocks that are mostly links are out; long blocks with many stop words are in; long ones
+headers, footers, sidebars and dialogs by their element and blocks that are mostly links are out; long blocks with many stop words are in; long ones
 with few stop words are out, unless they stand in the page's article, where lists and tables are text too:
 there they are undecided, as are short blocks. In the second pass undecided blocks take the label of the
 nearest decided block of the same part of the page, the one before on equal distance; where a part has no
 decided block, text in an article is in and other text is out, and in a page without an article
 undecided blocks between two labels need both neighbours to be in.
 
+Forms, and elements whose class, id or role is the name of a menu, header, footer, sidebar, notice, advert
+or comments (a whole name, not a part of one), are marked. Blocks in a marked element are out, unless it
+holds more than half of the page's text that the first pass takes in; comments must hold all of it.
+
 Character references are decoded, white space inside a block becomes one blank, and blocks are joined by
 an empty line. Null and empty pages give an empty text. Broken markup is read as browsers do: unclosed
 elements end with their parent. Rows that repeat are read one by one. Extra columns are not read.
@@ -17,6 +20,7 @@ elements end with their parent. Rows that repeat are read one by one. Extra colu
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -47,7 +51,7 @@ BLOCKS = frozenset(
     h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead
     tr ul""".split()
 )
-OUT = frozenset("aside button dialog footer form menu nav select".split())
+OUT = frozenset("aside button dialog footer menu nav select".split())
 HIDDEN = frozenset("head iframe math noscript object script style svg template textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLES = frozenset("article main".split())
@@ -57,8 +61,9 @@ OUT_WORDS = frozenset(
     popup promo promoted related replies reply respond search share sharing sidebar social sponsor sponsored subscribe
     toolbar widget""".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
-_SPLIT = re.compile(r"[^a-z0-9]+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -68,6 +73,7 @@ class Block:
 
     out: bool
     article: int
+    marks: tuple[tuple[int, bool], ...] = ()
     pieces: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
@@ -77,18 +83,22 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # element, hidden, out, number of its article
-        self.state = (False, False, 0)
+        #: Element, hidden, out, number of its article, marked elements around it: their number, whether comments.
+        self.open: list[tuple[str, bool, bool, int, tuple[tuple[int, bool], ...]]] = []
+        self.state = (False, False, 0, ())
         self.links = 0
         self.articles = 0
+        self.marked = 0
         self.block = Block(False, 0)
 
     def border(self) -> None:
         if self.block.pieces:
             self.blocks.append(self.block)
-        self.block = Block(self.state[1], self.state[2])
+        self.block = Block(*self.state[1:])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self.closed_head()
         if tag == "br":
             self.handle_data(" ")
         if tag in VOID:
@@ -97,14 +107,17 @@ class _Reader(HTMLParser):
             return
         if tag == "p":
             self.closed_paragraph()
-        hidden, out, article = self.state
-        words = {word for name, value in attrs if name in ("class", "id", "role") and value for word in _SPLIT.split(value.lower())}
-        out = out or tag in OUT or (tag == "header" and not article) or (tag not in ("html", "body") and bool(words & OUT_WORDS))
+        hidden, out, article, marks = self.state
+        names = {name for key, value in attrs if key in ("class", "id", "role") and value for name in value.lower().split()}
+        out = out or tag in OUT or (tag == "header" and not article)
+        if tag == "form" or (tag not in ("html", "body") and names & OUT_WORDS):
+            self.marked += 1
+            marks = (*marks, (self.marked, bool(names & COMMENT_WORDS)))
         if tag in ARTICLES and not out:
             self.articles += 1
             article = self.articles
         self.open.append((tag, *self.state))
-        self.state = (hidden or tag in HIDDEN, out, article)
+        self.state = (hidden or tag in HIDDEN, out, article, marks)
         if tag == "a":
             self.links += 1
         if tag in BLOCKS:
@@ -115,6 +128,10 @@ class _Reader(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def closed_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.handle_endtag("head")
+
     def closed_paragraph(self) -> None:
         for tag, *_ in reversed(self.open):
             if tag == "p":
@@ -139,6 +156,8 @@ class _Reader(HTMLParser):
             self.border()
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.closed_head()
         if not self.state[0]:
             self.block.pieces.append(data)
             if self.links:
@@ -155,9 +174,21 @@ def blocks(html: str) -> list[Block]:
         block.text = " ".join("".join(block.pieces).split())
         if block.text:
             found.append(block)
+    for block, outweighed in zip(found, _outweighed(found), strict=True):
+        block.out = block.out or not outweighed
     return found
 
 
+def _outweighed(found: list[Block]) -> list[bool]:
+    """Whether none of the marks of a block counts, because the page's text is in the marked elements."""
+    total, held = 0, Counter()
+    for block in found:
+        if first_label(block):
+            total += len(block.text)
+            held.update({mark: len(block.text) for mark in block.marks})
+    return [all(held[mark] == total > 0 if mark[1] else 2 * held[mark] > total for mark in block.marks) for block in found]
+
+
 def first_label(block: Block) -> bool | None:
     """In, out or undecided, from the block alone."""
     if block.out:
@@ -177,7 +208,7 @@ def first_label(block: Block) -> bool | None:
 def labels(found: list[Block]) -> list[bool]:
     """Both passes."""
     first = [None if block.out is False and label is None else label for block, label in ((b, first_label(b)) for b in found)]
-    any_article = any(block.article for block in found)
+    any_article = any(block.article and not block.out for block in found)
     before, after = _decided(found, first, range(len(found))), _decided(found, first, range(len(found) - 1, -1, -1))
     result = []
     for place, (block, label) in enumerate(zip(found, first, strict=True)):
