@@ -3,13 +3,14 @@
 Three kinds are reported wherever they match: `assign`, `access` and `hex`. Two kinds are weak, because
 clean texts hold such strings too: `id`, an account name after a key word, and `mixed`, a long string with
 digits, capitals and small letters. Credentials come in parts: an access identifier, a secret, an
-endpoint. A weak candidate is reported only if a complementary part lies in its scope, that is, begins or
-ends within `scope` code points of it: for `id` a secret, for `mixed` an identifier or an endpoint. Weak
-candidates that overlap a certain one are left out; endpoints alone are never reported.
+endpoint. A weak candidate is reported only if a complementary part that does not overlap it lies in its
+scope, that is, begins or ends within `scope` code points of it: for `id` a secret, for `mixed` an
+identifier or an endpoint. Weak candidates that overlap a certain one are left out, and `mixed` ones inside
+an account name or an endpoint, which are a part of it; endpoints alone are never reported.
 
 All parts of a text become rows with their interval. The interval join of weak candidates with
-complementary parts is a sweep along the text: the largest end before and the smallest beginning after
-each candidate are running extremes, so no pairs are formed and a text with many parts stays linear. Texts
+complementary parts is a sweep along the borders of parts: the largest end up to the beginning and the
+smallest beginning from the end of each candidate are running extremes, so no pairs are formed and a text with many parts stays linear. Texts
 stay where they were read; only parts are shuffled, once, by the number of their row.
 
 A null text is an empty one, without spans. Rows that repeat are scanned one by one. Spans are code
@@ -98,14 +99,25 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     hidden = F.coalesce(hidden, F.lit(False)) & ~certain & (F.col("kind") < KINDS.index("endpoint"))
     free = found.withColumn("_hidden", hidden).withColumn("kind", F.when(~F.col("_hidden"), F.col("kind")))
 
+    held = F.max(F.when(F.col("kind").isin(KINDS.index("id"), KINDS.index("endpoint")), F.col("end")))
+    up_to = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.coalesce((F.col("kind") == KINDS.index("mixed")) & (held.over(up_to) >= F.col("end")), F.lit(False))
+    free = free.withColumn("_inside", inside).withColumn("kind", F.when(~F.col("_inside"), F.col("kind")))
+    borders = F.array(*[F.struct(F.col(name).alias("at"), F.lit(name == "end").alias("is_end")) for name in ("start", "end")])
+    events = free.select("_row", "doc_id", "kind", "start", "end", F.explode(borders).alias("_border")).select("*", "_border.*")
+    left = Window.partitionBy("_row").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    right = Window.partitionBy("_row").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+
     def near(kinds: tuple[str, ...]) -> Column:
         of = F.col("kind").isin(*[KINDS.index(kind) for kind in kinds])
-        last, following = F.max(F.when(of, F.col("end"))).over(before), F.min(F.when(of, F.col("start"))).over(after)
-        return F.coalesce(last >= F.col("start") - scope, F.lit(False)) | F.coalesce(following <= F.col("end") + scope, F.lit(False))
-
-    by_secret, by_identity = near(("assign", "hex", "mixed")), near(("access", "id", "endpoint"))
-    weak = F.when(F.col("kind") == 3, by_secret).when(F.col("kind") == 4, by_identity).when(F.col("kind") == 5, F.lit(False))
-    return free.withColumn("_shown", F.coalesce(weak, F.lit(True))).withColumn("kind", F.when(F.col("_shown"), F.col("kind")))
+        last = F.max(F.when(of & F.col("is_end"), F.col("at"))).over(left)
+        following = F.min(F.when(of & ~F.col("is_end"), F.col("at"))).over(right)
+        return F.coalesce(F.when(F.col("is_end"), following <= F.col("end") + scope).otherwise(last >= F.col("start") - scope), F.lit(False))
+
+    events = events.withColumn("_secret", near(("assign", "hex", "mixed"))).withColumn("_identity", near(("access", "id", "endpoint")))
+    whole = events.groupBy("_row", "kind", "start", "end").agg(F.first("doc_id").alias("doc_id"), *[F.max(name).alias(name) for name in ("_secret", "_identity")])
+    weak = F.when(F.col("kind") == 3, F.col("_secret")).when(F.col("kind") == 4, F.col("_identity")).when(F.col("kind") == 5, F.lit(False))
+    return whole.withColumn("_shown", F.coalesce(weak, F.lit(True))).withColumn("kind", F.when(F.col("_shown"), F.col("kind")))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
