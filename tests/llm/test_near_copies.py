@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from tradewind.llm import near_copies
+from tradewind.llm import near_copies, simhash
 
 
 def shingle_set(text):
@@ -71,3 +71,10 @@ def test_a_large_group_needs_few_comparisons(spark, monkeypatch):
     rows = [(n, " ".join([*base, f"end{n}"])) for n in range(400)]
     assert near_copies.kept_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 1
     assert seen[0] < 32 * 400 and seen[1] == 0
+
+
+def test_simhash_keeps_a_document_of_each_group_when_an_id_repeats(spark):
+    one, two = (" ".join(f"{name}{k}" for k in range(80)) for name in ("a", "b"))
+    rows = [(2, one), (3, one), (1, two), (2, two)]
+    got = simhash.kept_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, two), (2, one)]

@@ -167,9 +167,9 @@ def links(nodes: DataFrame, stage: Stage, most: int = MOST_BITS) -> DataFrame:
     return dealt.mapInArrow(convert, "a bigint, b bigint")
 
 
-def _components(docs: DataFrame, words: int, most: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """Rows with their fingerprint, and the least doc_id reachable from each fingerprint."""
-    rows = stage.put(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), words), "prints")
+def _components(docs: DataFrame, words: int, most: int, stage: Stage, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fingerprint and kept columns, and the least doc_id reachable from each fingerprint."""
+    rows = stage.put(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep), words, ["doc_id", *keep]), "prints")
     nodes = stage.put(rows.groupBy("_print").agg(F.min("doc_id").alias("_least")), "nodes")
     tree = roots(stage.put(links(nodes.select("_print"), stage, most), "links"), stage)
     rooted = nodes.join(tree.withColumnRenamed("node", "_print"), "_print", "left").withColumn("root", F.coalesce("root", "_print"))
@@ -187,11 +187,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> D
 def kept_documents(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns.
 
-    Rows without a doc_id stay. Of rows that repeat this doc_id with one fingerprint all stay.
+    Rows without a doc_id stay. Rows with this doc_id in the group all stay; a doc_id with several texts can be
+    the least of one group and go from another.
     """
     stage = Stage(docs.sparkSession, "simhash")
-    rows, found = _components(docs, words, most, stage)
-    away = stage.put(rows.join(found, "_print").where("doc_id <> component_id").select("doc_id").distinct(), "away")
-    numbered = docs.select(whole_rows(docs), F.col("doc_id").cast("bigint").alias("_id"))
-    gone = away.withColumnRenamed("doc_id", "_id")
-    return filter_by_keys(numbered, gone, ["_id"], "left_anti", away.count(), 24).select("_doc.*")
+    doc_id = F.col("doc_id").cast("bigint")
+    key = F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256).alias("_key")
+    rows, found = _components(docs.select("doc_id", "text", key), words, most, stage, ("_key",))
+    away = stage.put(rows.join(found, "_print").where("doc_id <> component_id").select("_key").distinct(), "away")
+    return filter_by_keys(docs.select(whole_rows(docs), key), away, ["_key"], "left_anti", away.count(), 100).select("_doc.*")
