@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import exact_dedup, mixing, near_copies, packing, toxicity
+from tradewind.llm import exact_dedup, mixing, packing, simhash, toxicity
 from tradewind.llm.common import Stage, arrow_batches
 
 
@@ -25,8 +25,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies: 5-word shingles, similarity 0.8 or more."""
-    return near_copies.kept_documents(docs)
+    """The document with the smallest doc_id of each SimHash group, with the shingle length and bit distance of op10."""
+    return simhash.kept_documents(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
