@@ -62,6 +62,28 @@ def filter_by_keys(df: DataFrame, keys: DataFrame, on: list[str], how: str, rows
     return df.join(keys.hint("shuffle_hash"), on, how)
 
 
+#: Rows of one key that a join deals to one task.
+GROUP_ROWS = 100_000
+
+
+def join_groups(df: DataFrame, groups: DataFrame, on: str, rows: str, stage: Stage, name: str, salt: Column | None = None, most: int | None = None) -> DataFrame:
+    """Inner join with one row per key that counts the key's rows; keys of many rows are dealt to several tasks.
+
+    The piece of a row follows from its values. If rows repeat, give a salt: row numbers of a staged table, for one.
+    """
+    most = GROUP_ROWS if most is None else most
+    hot = stage.put(groups.where(F.col(rows) > most).select(on, F.ceil(F.col(rows) / most).cast("int").alias("_cuts")), name)
+    count = hot.count()
+    if not count:
+        return df.join(groups, on)
+    hot, cuts = bounded(hot, count, 16), F.coalesce("_cuts", F.lit(1))
+    salt = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if salt is None else F.xxhash64(salt)
+    dealt = df.withColumn("_own", salt).join(hot, on, "left")
+    dealt = dealt.withColumn("_cut", F.pmod("_own", cuts).cast("int")).drop("_own", "_cuts")
+    copies = groups.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_cuts")
+    return dealt.join(copies, [on, "_cut"]).drop("_cut")
+
+
 def whole_rows(df: DataFrame) -> Column:
     """All columns of a row in one, so that none can clash with columns that an operator adds."""
     return F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("_doc")
