@@ -72,11 +72,10 @@ def join_groups(df: DataFrame, groups: DataFrame, on: str, rows: str, stage: Sta
     The piece of a row follows from its values. If rows repeat, give a salt: row numbers of a staged table, for one.
     """
     most = GROUP_ROWS if most is None else most
-    hot = stage.put(groups.where(F.col(rows) > most).select(on, F.ceil(F.col(rows) / most).cast("int").alias("_cuts")), name)
-    count = hot.count()
-    if not count:
+    if (groups.agg(F.max(rows)).first()[0] or 0) <= most:
         return df.join(groups, on)
-    hot, cuts = bounded(hot, count, 16), F.coalesce("_cuts", F.lit(1))
+    hot = stage.put(groups.where(F.col(rows) > most).select(on, F.ceil(F.col(rows) / most).cast("int").alias("_cuts")), name)
+    hot, cuts = bounded(hot, hot.count(), 16), F.coalesce("_cuts", F.lit(1))
     salt = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if salt is None else F.xxhash64(salt)
     dealt = df.withColumn("_own", salt).join(hot, on, "left")
     dealt = dealt.withColumn("_cut", F.pmod("_own", cuts).cast("int")).drop("_own", "_cuts")

@@ -1,24 +1,26 @@
 """Word n-gram Jaccard join with several global orders of the shingles.
 
-A document is the set of its distinct word shingles. Two sets of n and m shingles that link hold a shared
-shingle among their first n - ceil(least * n) + 1 and m - ceil(least * m) + 1 under every global order. So a
-pair is a candidate only if the two prefixes meet under each of several orders; what the filters of all
-orders leave is verified on whole sets.
+A document is the set of its distinct word shingles. Take any global order of shingles. If two sets of n and m
+shingles link, the first p(n) = n - ceil(least * n) + 1 of one and the first p(m) of the other meet; and the first
+p(n) + x and p(m) + y meet in more than min(x, y) shingles. A pair is a candidate only if its prefixes meet under
+each of several orders; what the filters of all orders leave is verified on whole sets.
 
 Every order takes rare shingles first: shingles are counted over all documents in a table of fixed size, by
 hash slot, and a slot's class is how far its count stands above the rest. Within a class each order goes by
 its own hash. The orders only decide speed; any of them gives the same links.
 
 1. `profiled` reads each text once: set size, digest of the set, counts by slot. Equal sets are one node.
-2. `prefixes` gives the prefix of each node under the first order; shingles in one node's prefix alone go.
-3. `blocked` sends each node that shares a prefix shingle to the block of the commonest one. A task holds a
+2. `prefixes` gives half as many shingles again as the prefix of each node under the first order. Shingles of one
+   node alone go, and so do nodes with too few shared ones to link with any size of set.
+3. `blocked` sends the whole set of each node left to the block of its commonest shared shingle. A task holds a
    bounded number of shingles at a time, intersects the posting lists of all orders, verifies, and keeps a
    spanning forest. Groups too large for a block are cut, and met again in differently mixed blocks.
-4. `crossing` gives all pairs that share a first-order prefix shingle but are not connected yet; within one
+4. `crossing` gives all pairs that share enough of the first order's shingles but are not connected yet; within one
    shingle's group only nodes outside its largest component start pairs. `checked` filters them by the other
    orders and verifies the rest, in a grid of blocks, so that no node and no pair list meets in one task.
 
 Sets are compared by 64-bit hashes of their shingles; a wrong comparison needs a collision inside one pair.
+Shared shingles are found by as many bits of the hash as the table needs, which can only add candidates.
 Rows without a word are linked with nothing and are their own component. Null texts are empty. A null doc_id
 is ignored when the least doc_id of a component is taken. Rows that repeat are rows of one node. Extra columns
 are not read.
@@ -27,7 +29,6 @@ are not read.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import Stage, bounded, join_groups
+from tradewind.llm.common import Stage, bounded, join_groups, text_bytes
 from tradewind.llm.components import roots
+from tradewind.llm.words import byte_groups
 
 WORDS = 4
 #: Least similarity in percent.
@@ -52,9 +54,11 @@ BLOCK_SHINGLES = 1 << 20
 MIXES = 2
 #: Pairs in a block of the grid.
 GRID_PAIRS = 4096
-KNOWN_WORDS = 200_000
+#: Bytes of texts that are hashed together, or one longer text.
+CHUNK_BYTES = 1 << 20
+#: Spare bits of the hashes that find shared shingles: one in 2^12 is shared by chance.
+SPARE_BITS = 12
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _TURN, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,32 +68,71 @@ def _stirred(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-class Shingler:
-    """Sets of shingle hashes; hashes of recent words are kept, a bounded number."""
+def _powers(base: np.uint64, count: int) -> np.ndarray:
+    powers = np.full(count, base, np.uint64)
+    powers[:1] = 1
+    return np.cumprod(powers)
+
+
+def _hashed_words(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts and each word's text; texts are stretches of the bytes."""
+    body = np.where((body >= 65) & (body <= 90), body + 32, body)
+    inside = np.concatenate([[False], (body != 32) & ((body < 9) | (body > 13)), [False]])
+    cuts = np.zeros(len(body) + 1, bool)
+    cuts[bounds] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cuts))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cuts))
+    lengths = ends - starts
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    letters = body[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
+    sums = [np.add.reduceat(letters * _powers(base, int(lengths.max()))[place], first) for base in (_TURN, _STIR)]
+    hashed = _stirred(sums[0]) + _stirred(sums[1] ^ lengths.astype(np.uint64))
+    return hashed, np.searchsorted(bounds, starts, "right") - 1
+
+
+def _joined_words(hashed: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of so many words."""
+    joined = np.full(len(hashed) - words + 1, words, np.uint64)
+    for k in range(words):
+        joined = _stirred(joined) + hashed[k : k + len(joined)]
+    return _stirred(joined)
+
+
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending."""
+    body, offsets = text_bytes(texts)
+    flat = np.frombuffer(body, np.uint8)
+    for low, high in byte_groups(np.diff(offsets).tolist(), CHUNK_BYTES):
+        begin, end = offsets[low], offsets[high]
+        hashed, owners = _hashed_words(flat[begin:end], offsets[low : high + 1] - begin)
+        bounds = np.searchsorted(owners, np.arange(high - low + 1))
+        whole = _joined_words(hashed, words) if len(hashed) >= words else np.zeros(0, np.uint64)
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            if last - first >= words:
+                found = np.sort(whole[first : last - words + 1])
+                yield found[np.concatenate([[True], found[1:] != found[:-1]])]
+            else:
+                yield _joined_words(hashed[first:last], int(last - first)) if last > first else np.zeros(0, np.uint64)
 
-    def __init__(self, words: int = WORDS) -> None:
-        import xxhash
 
-        self.words, self.hash, self.known = words, xxhash.xxh64_intdigest, {}
+def prefix_length(size: int, least: int = LEAST) -> int:
+    return size - -(-least * size // 100) + 1
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        """The distinct shingles of a text, ascending."""
-        tokens = _WORD.findall((text or "").encode().lower())
-        if not tokens:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        self.known.update((word, self.hash(word)) for word in set(tokens).difference(self.known))
-        hashed = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
-        width = min(self.words, len(tokens))
-        joined = np.full(len(tokens) - width + 1, width, np.uint64)
-        for k in range(width):
-            joined = _stirred(joined) + hashed[k : k + len(joined)]
-        return np.unique(_stirred(joined))
 
+def spare_length(size: int, least: int = LEAST) -> int:
+    """How many shingles more than the prefix are compared to find nodes that share some."""
+    return prefix_length(size, least) // 2
 
-def prefix_length(size: int, least: int = LEAST) -> int:
-    return size - -(-least * size // 100) + 1
+
+def _prefix_column(size: Column, least: int) -> Column:
+    return size - F.ceil(size * least / 100) + 1
+
+
+def _spare_column(size: Column, least: int) -> Column:
+    return F.floor(_prefix_column(size, least) / 2)
 
 
 class Orders:
@@ -99,18 +142,18 @@ class Orders:
         self.classes = np.frombuffer(zlib.decompress(classes), np.uint8).astype(np.uint64) << np.uint64(56)
         self.count, self.least = count, least
 
-    def prefix(self, shingles: np.ndarray, order: int) -> np.ndarray:
-        """The first shingles of a set under one order, in that order."""
+    def prefix(self, shingles: np.ndarray, order: int, spare: int = 0) -> np.ndarray:
+        """The first shingles of a set under one order, in that order, and some more."""
         place = self.classes[shingles & np.uint64(len(self.classes) - 1)]
         place = place | _stirred(shingles ^ np.uint64(order << 48)) >> np.uint64(8)
-        return shingles[np.argsort(place, kind="stable")[: prefix_length(len(shingles), self.least)]]
+        return shingles[np.argsort(place, kind="stable")[: prefix_length(len(shingles), self.least) + spare]]
 
 
 def profiled(docs: DataFrame, words: int) -> DataFrame:
     """Per row doc_id, `_key`, size and digest of its set; besides, per task a row with packed counts by slot."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts, waiting, held = Shingler(words), np.zeros(SLOTS, np.uint32), [], 0
+        counts, waiting, held = np.zeros(SLOTS, np.uint32), [], 0
 
         def counted() -> None:
             if waiting:
@@ -119,8 +162,7 @@ def profiled(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             sizes, digests = [], []
-            for text in batch.column("_text").to_pylist():
-                shingles = shingler.shingles(text)
+            for shingles in shingle_sets(batch.column("_text"), words):
                 sizes.append(len(shingles))
                 digests.append(hashlib.sha256(shingles.tobytes()).digest())
                 waiting.append(shingles)
@@ -164,57 +206,54 @@ def slot_classes(packed: DataFrame) -> bytes:
     return zlib.compress(classes.tobytes(), 1)
 
 
-def node_offset(rows: DataFrame) -> int:
-    """The first byte from which 8 bytes of the digest tell all sets apart."""
+def node_bytes(rows: DataFrame) -> tuple[int, int]:
+    """First byte and number of bytes of the digest that tell all sets apart, few for a small table."""
     digests = rows.select("_digest").distinct()
-    for offset in range(1, 25):
-        if digests.groupBy(_node(offset)).count().where("count > 1").isEmpty():
-            return offset
+    width = min(8, -(-(2 * max(1, digests.count()).bit_length() + 8) // 8))
+    for first in range(1, 34 - width):
+        if digests.groupBy(_node((first, width))).count().where("count > 1").isEmpty():
+            return first, width
     raise ValueError("sets cannot be told apart by 8 bytes of their digests")
 
 
-def _node(offset: int) -> Column:
-    return F.conv(F.hex(F.substring("_digest", offset, 8)), 16, -10).cast("bigint").alias("node")
+def _node(part: tuple[int, int]) -> Column:
+    return F.conv(F.hex(F.substring("_digest", *part)), 16, -10).cast("bigint").alias("node")
 
 
-def _own_node(shingles: np.ndarray, offset: int) -> int:
-    return int.from_bytes(hashlib.sha256(shingles.tobytes()).digest()[offset - 1 : offset + 7], "big", signed=True)
+def _own_node(shingles: np.ndarray, part: tuple[int, int]) -> int:
+    digest = hashlib.sha256(shingles.tobytes()).digest()[part[0] - 1 : part[0] - 1 + part[1]]
+    return int.from_bytes(digest, "big", signed=part[1] == 8)
 
 
-def prefixes(docs: DataFrame, words: int, least: int, classes: bytes, offset: int) -> DataFrame:
-    """token, node, size and place of every prefix shingle under the first order."""
+def prefixes(docs: DataFrame, words: int, least: int, classes: bytes, part: tuple[int, int], bits: int) -> DataFrame:
+    """token and node for the prefix and spare shingles of each set under the first order."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, orders, seen = Shingler(words), Orders(classes, 1, least), set()
+        orders, seen = Orders(classes, 1, least), set()
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
-            for text in batch.column("_text").to_pylist():
-                shingles = shingler.shingles(text)
-                node = _own_node(shingles, offset)
+            tokens, nodes = [np.zeros(0, np.uint64)], []
+            for shingles in shingle_sets(batch.column("_text"), words):
+                node = _own_node(shingles, part)
                 if len(shingles) and node not in seen:
                     seen.add(node)
-                    tokens.append(orders.prefix(shingles, 0))
+                    tokens.append(orders.prefix(shingles, 0, spare_length(len(shingles), least)))
                     nodes.append(node)
-                    sizes.append(len(shingles))
-            lengths = [len(part) for part in tokens]
-            flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-            places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]) if tokens else np.zeros(0, np.int32)
-            columns = [flat, np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), places]
-            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["token", "node", "size", "place"])
+            flat = (np.concatenate(tokens) >> np.uint64(64 - bits)).view(np.int64)
+            owners = np.repeat(np.array(nodes, np.int64), [len(t) for t in tokens[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owners, pa.int64())], names=["token", "node"])
 
-    return docs.select(F.col("text").alias("_text")).mapInArrow(convert, "token bigint, node bigint, size int, place int")
+    return docs.select(F.col("text").alias("_text")).mapInArrow(convert, "token bigint, node bigint")
 
 
-def whole_sets(docs: DataFrame, words: int, offset: int, keep: list[str]) -> DataFrame:
+def whole_sets(docs: DataFrame, words: int, part: tuple[int, int], keep: list[str]) -> DataFrame:
     """node and packed shingles of each text, with kept columns; a task gives each node once."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
+        seen = set()
         for batch in batches:
             rows, nodes, packed = [], [], []
-            for row, text in enumerate(batch.column("_text").to_pylist()):
-                shingles = shingler.shingles(text)
-                node = _own_node(shingles, offset)
+            for row, shingles in enumerate(shingle_sets(batch.column("_text"), words)):
+                node = _own_node(shingles, part)
                 if len(shingles) and node not in seen:
                     seen.add(node)
                     rows.append(row)
@@ -328,25 +367,26 @@ def blocked(sets: DataFrame, classes: bytes, least: int, orders: int, tasks: int
     return dealt.mapInArrow(convert, "a bigint, b bigint")
 
 
-def crossing(met: DataFrame, parts: DataFrame, least: int, stage: Stage, name: str) -> DataFrame:
-    """Pairs a, b of different components that share a first-order prefix shingle and may reach the least overlap."""
+def crossing(met: DataFrame, parts: DataFrame, least: int, stage: Stage) -> DataFrame:
+    """Pairs a, b of different components that share enough of the first order's shingles; `met` has token, node and size."""
     placed = met.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    placed = stage.put(placed.select("token", "node", "size", "place", "part"), f"{name}-placed")
+    placed = stage.put(placed.select("token", "node", "size", "part"), "placed")
     groups = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("_nodes"))
     open_tokens = groups.groupBy("token").agg(F.max(F.struct("_nodes", "part"))["part"].alias("_main"), F.count(F.lit(1)).alias("_parts"), F.sum("_nodes").alias("_nodes"))
-    open_tokens = stage.put(open_tokens.where("_parts > 1").select("token", "_main", "_nodes"), f"{name}-open")
-    rows = stage.put(join_groups(placed, open_tokens, "token", "_nodes", stage, f"{name}-hot").drop("_nodes"), f"{name}-rows")
-    first = rows.where("part <> _main").select("token", *[F.col(n).alias(f"{n}_a") for n in ("node", "size", "place", "part")])
-    second = rows.select("token", "_main", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "place", "part")])
-    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    open_tokens = stage.put(open_tokens.where("_parts > 1").select("token", "_main", "_nodes"), "open")
+    rows = stage.put(join_groups(placed, open_tokens, "token", "_nodes", stage, "open-hot").drop("_nodes"), "open-rows")
+    first = rows.where("part <> _main").select("token", *[F.col(n).alias(f"{n}_a") for n in ("node", "size", "part")])
+    second = rows.select("token", "_main", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "part")])
     fits = (
         (F.col("part_a") != F.col("part_b"))
         & ((F.col("part_b") == F.col("_main")) | (F.col("node_a") < F.col("node_b")))
         & (100 * F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
-        & ((100 + least) * rest >= least * (F.col("size_a") + F.col("size_b")))
     )
     pairs = first.join(second, (first["token"] == second["token"]) & fits)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    shared = pairs.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("_shared"), F.min(F.least("size_a", "size_b")).alias("_size")
+    )
+    return shared.where(F.col("_shared") > _spare_column(F.col("_size"), least)).select("a", "b")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, classes: bytes, least: int, orders: int) -> DataFrame:
@@ -379,26 +419,42 @@ def _tasks(spark, shingles: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // (4 * BLOCK_SHINGLES)))
 
 
-def links(docs: DataFrame, rows: DataFrame, classes: bytes, offset: int, words: int, least: int, orders: int, stage: Stage) -> DataFrame:
-    """Links a, b of nodes that connect all sets that link, directly or by way of others."""
-    spark = docs.sparkSession
-    entries = stage.put(prefixes(docs, words, least, classes, offset), "prefixes")
+def shared_prefixes(docs: DataFrame, rows: DataFrame, classes: bytes, part: tuple[int, int], words: int, least: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """token, node and size for prefix shingles that several nodes share, of nodes that share enough of them; and these nodes."""
+    sizes = stage.put(rows.groupBy(_node(part)).agg(F.max("_size").alias("size"), F.min("_key").alias("_key")), "sizes")
+    every = sizes.agg(F.sum(_prefix_column(F.col("size"), least) + _spare_column(F.col("size"), least))).first()[0] or 0
+    bits = min(64, int(every).bit_length() + SPARE_BITS)
+    entries = stage.put(prefixes(docs, words, least, classes, part, bits), "prefixes")
     shared = entries.groupBy("token").agg(F.min("node").alias("_least"), F.max("node").alias("_most"), F.count(F.lit(1)).alias("_nodes"))
     shared = stage.put(shared.where("_least <> _most").select("token", "_nodes"), "shared")
-    met = stage.put(join_groups(entries, shared, "token", "_nodes", stage, "shared-hot").distinct(), "met")
+    met = join_groups(entries, shared, "token", "_nodes", stage, "shared-hot").select("node", "token")
+    met = stage.put(met.repartition("node").distinct(), "met")
     stage.drop("prefixes")
+    # The least set that a node can link with has ceil(least * size) shingles.
+    fewest = _spare_column(F.ceil(F.col("size") * least / 100), least)
+    alive = met.groupBy("node").agg(F.count(F.lit(1)).alias("_shared")).join(sizes, "node").where(F.col("_shared") > fewest)
+    alive = stage.put(alive.select("node", "size", "_key"), "alive")
+    kept = stage.put(met.join(bounded(alive.select("node", "size"), alive.count(), 24), "node"), "kept")
+    several = kept.groupBy("token").agg(F.count(F.lit(1)).alias("_nodes")).where("_nodes > 1")
+    return join_groups(kept, stage.put(several, "several"), "token", "_nodes", stage, "several-hot"), alive
+
+
+def links(docs: DataFrame, rows: DataFrame, classes: bytes, part: tuple[int, int], words: int, least: int, orders: int, stage: Stage) -> DataFrame:
+    """Links a, b of nodes that connect all sets that link, directly or by way of others."""
+    spark = docs.sparkSession
+    met, alive = shared_prefixes(docs, rows, classes, part, words, least, stage)
+    met = stage.put(met, "candidates")
     homes = stage.put(met.groupBy("node").agg(F.max(F.struct("_nodes", "token"))["token"].alias("_home"), F.max("size").alias("size")), "homes")
-    sizes = homes.groupBy("_home").agg(F.count(F.lit(1)).alias("_homed"), F.ceil(F.sum(F.col("size").cast("bigint")) / BLOCK_SHINGLES).alias("_pieces"))
+    sizes = homes.groupBy("_home").agg(F.count(F.lit(1)).alias("_homed"), F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("_pieces"))
     homes = stage.put(join_groups(homes, stage.put(sizes, "home-sizes"), "_home", "_homed", stage, "home-hot").drop("_homed"), "homed")
     totals = homes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("_pieces"), F.lit(0))).first()
 
     def block(mix: int) -> Column:
         return F.xxhash64("_home", F.pmod(F.xxhash64("node", F.lit(mix)), F.col("_pieces"))).alias("_block")
 
-    keys = rows.groupBy(_node(offset)).agg(F.min("_key").alias("_key"))
-    wanted = stage.put(homes.join(keys, "node").select("_key", block(0)), "wanted")
+    wanted = stage.put(homes.join(alive.select("node", "_key"), "node").select("_key", block(0)), "wanted")
     found = docs.select("_key", "text").join(bounded(wanted, totals[0], 40), "_key")
-    sets = stage.put(whole_sets(found, words, offset, ["_block"]), "sets")
+    sets = stage.put(whole_sets(found, words, part, ["_block"]), "sets")
     tasks = _tasks(spark, totals[1])
     linked = stage.put(blocked(sets.withColumn("_part", F.col("node")), classes, least, orders, tasks), "links-0")
     cut = homes.where("_pieces > 1")
@@ -408,7 +464,7 @@ def links(docs: DataFrame, rows: DataFrame, classes: bytes, offset: int, words:
         more = blocked(sets.drop("_block").join(mixed, "node"), classes, least, orders, tasks)
         linked = linked.unionByName(stage.put(more, f"links-{number}"))
     parts = roots(linked, Stage(spark, "ngram-parts")).select("node", F.col("root").alias("part"))
-    pairs = stage.put(crossing(met.drop("_nodes"), parts, least, stage, "crossing"), "pairs")
+    pairs = stage.put(crossing(met.drop("_nodes"), parts, least, stage), "pairs")
     return linked.unionByName(stage.put(checked(pairs, sets, classes, least, orders), "links-last"))
 
 
@@ -421,12 +477,12 @@ def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST, orders: int
     rows = profile.where("_digest IS NOT NULL")
     classes = slot_classes(profile.where("_slots IS NOT NULL").select("_slots"))
     filled = rows.where("_size > 0")
-    offset = node_offset(filled)
-    tree = roots(stage.put(links(docs, filled, classes, offset, words, least, orders, stage), "links"), Stage(docs.sparkSession, "ngram-roots"))
-    nodes = filled.groupBy(_node(offset)).agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    part = node_bytes(filled)
+    tree = roots(stage.put(links(docs, filled, classes, part, words, least, orders, stage), "links"), Stage(docs.sparkSession, "ngram-roots"))
+    nodes = filled.groupBy(_node(part)).agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
     nodes = stage.put(nodes.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
     least_ids = nodes.groupBy("root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))
     settled = stage.put(join_groups(nodes, stage.put(least_ids, "least"), "root", "_nodes", stage, "root-hot").select("node", "component_id", "_rows"), "settled")
-    held = join_groups(filled.select("doc_id", "_size", _node(offset)), settled, "node", "_rows", stage, "node-hot", F.monotonically_increasing_id())
+    held = join_groups(filled.select("doc_id", "_size", _node(part)), settled, "node", "_rows", stage, "node-hot", F.monotonically_increasing_id())
     alone = rows.where("_size = 0").select("doc_id", F.col("_size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return held.select("doc_id", F.col("_size").alias("n_shingles"), "component_id").unionByName(alone)
