@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +16,12 @@ from tradewind import functions as X
 from tradewind.operators import cleaning, joins, scd, trees, windows
 from tradewind.operators.keys import assign_ids
 from tradewind.operators.sets import union_all
-from tradewind.operators.skew import join_large
+from tradewind.operators.skew import colocated, join_large
 from tradewind.plans import dimensions, facts, growth, incremental, products
-from tradewind.plans.warehouse import Warehouse, staging
-from tradewind.schemas import FACT_KEYS, PERIODIC_KEYS, PRODUCT_KEY
+from tradewind.plans.warehouse import Warehouse, latest_facts, staging
+from tradewind.schemas import FACT_KEYS, MULTILINE_LANDING, PERIODIC_KEYS, PLATFORMS, PRODUCT_KEY
 from tradewind.session import scratch_path
-from tradewind.sinks.files import write_chunks
+from tradewind.sinks.files import write_arrays, write_chunks
 from tradewind.sources.landing import latest_batch
 from tradewind.streaming.landing_stream import run_incremental_stream
 
@@ -423,8 +426,14 @@ def upserted_products(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def new_facts(spark: SparkSession, sf: str) -> DataFrame:
-    sales = star.stored(spark, sf, "fact_sales").where("platform_id = 12")
-    return joins.new_facts(sales.where("date_id > 1"), sales.where("date_id = 1"), FACT_KEYS[12]).select("sale_id")
+    """Against a history in buckets of products and sellers, which is not shuffled."""
+    warehouse = Warehouse(spark, scratch_path(spark, "bucketed")).create(buckets=8)
+    sales = star.stored(spark, sf, "fact_sales")
+    warehouse.add("fact_sales", lambda _: sales.where("date_id = 1"))
+    later = sales.where("platform_id = 12 AND date_id > 1")
+    history = warehouse.read("fact_sales").where("platform_id = 12")
+    with colocated(spark):
+        return _written(joins.new_facts(later, history, FACT_KEYS[12]).select("sale_id"), "new-facts")
 
 
 @check(
@@ -496,17 +505,17 @@ def nations_not_in_list(spark: SparkSession, sf: str) -> DataFrame:
 @check(
     "PIP-1 SNK-6 SCA-8 SCA-5",
     """SELECT 'date' AS kind, NULL::INT AS platform_id, d::VARCHAR AS name, year(d) * 10 + quarter(d) AS number
-       FROM (SELECT unnest([min(l_shipdate), max(l_shipdate)])::DATE AS d FROM lineitem)
+       FROM (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem)
     UNION ALL SELECT kind, platform_id, name, -1 FROM (VALUES (10), (11), (12)) p(platform_id),
       (VALUES ('category', 'Khác'), ('brand', 'No Brand'), ('seller', 'No Seller')) m(kind, name)
     UNION ALL SELECT 'location', NULL, 'Chưa rõ', -1""",
 )
 def seeded_members(spark: SparkSession, sf: str) -> DataFrame:
-    """Seeds the first and the last shipping day, the second run over what the first left."""
+    """Seeds the shipping days of large orders, then every shipping day over what the first run left."""
     warehouse = Warehouse(spark, scratch_path(spark, "seed")).create()
-    day = F.col("l_shipdate").cast("date")
-    for found in star.table(spark, sf, "lineitem").agg(F.min(day), F.max(day)).first():
-        dimensions.seed(warehouse, found)
+    sales = star.table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), "l_quantity")
+    dimensions.seed(warehouse, sales.where("l_quantity > 45"))
+    dimensions.seed(warehouse, sales)
     none = F.lit(None).cast("int").alias("platform_id")
     dates = warehouse.read("dim_date").select(
         F.lit("date").alias("kind"),
@@ -712,89 +721,161 @@ def growth_per_period(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- whole loads ----
 
-_LOADS = (4, 5, 6)
-_RUN_SQL = f"""WITH images AS (
-  {" UNION ALL ".join(f"SELECT {i} AS load, * FROM ({image_sql(12, i)})" for i in _LOADS)}),
-versions AS (
-  SELECT *, lag(load) OVER w AS before, lag(sold) OVER w AS sold_before FROM images
-  WINDOW w AS (PARTITION BY product_code, seller_code ORDER BY load)),
-stored AS (SELECT * FROM versions WHERE before IS NULL OR sold <> sold_before)"""
+# What the loads of all snapshots of all marketplaces leave. A product row is stored when its counter changed; a
+# sales row when the version or, where several sellers share one listing, its place was not stored yet.
+# Places have ids in the order in which the loads bring them, and within a load by digest.
 
 
-_LABELS = ", ".join(
-    f"CASE WHEN l.effective_date - o.effective_date <= {days} THEN '{days}-DAY' END" for days in (7, 14, 21, 30)
-)
+def _stored_sql(load_order: str) -> str:
+    images = " UNION ALL ".join(
+        f"SELECT {i} AS load, platform_id, product_code, seller_code, sold, price, effective_date FROM ({image_sql(p, i)})"
+        for p in PLATFORMS
+        for i in DAYS
+    )
+    return f"""WITH images AS MATERIALIZED ({images}),
+    counted AS (SELECT *, lag(sold) OVER (PARTITION BY platform_id, product_code, seller_code ORDER BY load) AS before FROM images),
+    versions AS (SELECT *, sum((before IS NULL OR sold <> before)::INT)
+      OVER (PARTITION BY platform_id, product_code, seller_code ORDER BY load) AS version FROM counted),
+    offers AS MATERIALIZED (
+      SELECT date_id AS load, platform_id, v.prefix || p_partkey AS product_code, upper(n_name) AS place,
+        CASE WHEN platform_id = 10 OR p_size = {NO_SELLER} THEN -1 ELSE s_suppkey END AS seller_code
+      FROM listing JOIN (VALUES (10, ''), (11, ''), (11, 'v'), (12, '')) v(p, prefix) ON platform_id = v.p
+      WHERE platform_id <> 10 OR p_size <> 7),
+    places AS (
+      SELECT place, min({load_order}) AS came FROM offers WHERE platform_id < 12 GROUP BY place),
+    ranked AS (SELECT place, row_number() OVER (ORDER BY came, md5(place)) AS rank FROM places),
+    placed AS (
+      SELECT load, platform_id, product_code, seller_code,
+        CASE WHEN platform_id = 12 THEN 'Chưa rõ' ELSE min_by(place, rank) END AS place
+      FROM offers LEFT JOIN ranked USING (place) GROUP BY load, platform_id, product_code, seller_code),
+    stored AS MATERIALIZED (
+      SELECT * FROM versions JOIN placed USING (load, platform_id, product_code, seller_code)
+      QUALIFY load = min(load) OVER (PARTITION BY platform_id, product_code, seller_code, version, place))"""
 
 
-def land_snapshots(spark: SparkSession, sf: str) -> str:
-    """The dated landing batches of P12 in one folder."""
-    folder = scratch_path(spark, "landing")
-    for date_id in _LOADS:
-        write_chunks(landing.landing(spark, sf, 12, date_id), folder, "details", DAYS[date_id], 100_000)
-    return folder
+_IN_TURN = "load * 100 + platform_id"
+_BY_MARKETPLACE = "platform_id * 100 + load"
 
 
-def _loaded_facts(spark: SparkSession, warehouse: Warehouse) -> DataFrame:
-    sales = warehouse.read("fact_sales")
-    dates = warehouse.read("dim_date").select("date_id", "date")
-    sellers = warehouse.read("dim_seller").select("seller_id", "seller_code")
-    return sales.join(dates, "date_id").join(sellers, "seller_id").select(
-        "product_code", "seller_code", "date", "units_sold", "total_sales_amount"
-    )
+def _facts_sql(load_order: str) -> str:
+    return f"""{_stored_sql(load_order)}
+    SELECT platform_id, product_code, seller_code, place, effective_date AS date, sold AS units_sold,
+      (sold * price)::DECIMAL(38,2) AS total_sales_amount FROM stored"""
 
 
-_STORED_FACTS = f"""{_RUN_SQL}
-SELECT product_code, seller_code, effective_date AS date, sold AS units_sold,
-  (sold * price)::DECIMAL(38,2) AS total_sales_amount FROM stored"""
+def _tree(spark: SparkSession, sf: str, platform_id: int) -> DataFrame | None:
+    return star.stored(spark, sf, "category_tree").where(F.col("platform_id") == platform_id) if platform_id != 10 else None
 
 
-@check("PIP-7 SRC-1 SRC-7 SNK-1 SNK-2", over_star(_STORED_FACTS))
-def incremental_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """A first load and the later ones, each from the newest dated files of the landing folder."""
-    folder = scratch_path(spark, "landing")
+def land_snapshots(spark: SparkSession, sf: str, platform_id: int, folder: str, days: Iterable[int] = DAYS) -> None:
+    """The dated landing files of a marketplace, in the form in which it delivers them."""
+    write = write_arrays if platform_id in MULTILINE_LANDING else write_chunks
+    for date_id in days:
+        write(landing.landing(spark, sf, platform_id, date_id), folder, "details", DAYS[date_id], 100_000)
+
+
+_loaded: dict[tuple[str, str], Warehouse] = {}
+
+
+def loaded_warehouse(spark: SparkSession, sf: str) -> Warehouse:
+    """A warehouse after the first and all later loads of each marketplace, made once per application.
+
+    Each load takes the newest dated files of its landing folder. P10 and P11 bring places and take turns; P12
+    is loaded at the same time.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _loaded:
+        return _loaded[key]
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse")).create()
-    tree = star.stored(spark, sf, "category_tree").where("platform_id = 12")
-    for date_id in _LOADS:
-        write_chunks(landing.landing(spark, sf, 12, date_id), folder, "details", DAYS[date_id], 100_000)
-        batch, day = latest_batch(spark, folder, "details", landing.LANDING[12])
-        load = incremental.run_initial if date_id == _LOADS[0] else incremental.run_incremental
-        load(warehouse, batch, 12, day, tree)
-    return _loaded_facts(spark, warehouse)
+    dimensions.seed(warehouse, DAYS[1])
+    folders = {p: scratch_path(spark, f"landing-{p}") for p in PLATFORMS}
+
+    def run(platforms: tuple[int, ...]) -> None:
+        for date_id in DAYS:
+            for p in platforms:
+                land_snapshots(spark, sf, p, folders[p], [date_id])
+                batch, day = latest_batch(spark, folders[p], "details", landing.LANDING[p], p in MULTILINE_LANDING)
+                load = incremental.run_initial if date_id == 1 else incremental.run_incremental
+                load(warehouse, batch, p, day, _tree(spark, sf, p))
+
+    for name in ("sold_pairs", "category_tree"):
+        star.stored(spark, sf, name)
+    with ThreadPoolExecutor(2) as pool:
+        for part in [pool.submit(run, platforms) for platforms in ((10, 11), (12,))]:
+            part.result()
+    _loaded[key] = warehouse
+    return warehouse
+
+
+def _loaded_facts(warehouse: Warehouse, name: str, *more: str) -> DataFrame:
+    rows = warehouse.read(name).join(warehouse.read("dim_date").select("date_id", "date"), "date_id")
+    rows = rows.join(warehouse.read("dim_seller").select("seller_id", "seller_code"), "seller_id")
+    places = warehouse.read("dim_location").select("location_id", F.col("location_name").alias("place"))
+    return rows.join(places, "location_id").select(
+        "platform_id", "product_code", "seller_code", "place", "date", "units_sold", "total_sales_amount", *more
+    )
 
 
-@check("STR-1 PIP-7", over_star(_STORED_FACTS))
+@check("PIP-7 SRC-1 SRC-7 SNK-1 SNK-2", over_star(_facts_sql(_IN_TURN)))
+def incremental_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Sales rows after the loads of all six snapshots of the three marketplaces."""
+    return _loaded_facts(loaded_warehouse(spark, sf), "fact_sales")
+
+
+@check(
+    "PIP-7 JOI-13",
+    over_star(
+        f"""{_stored_sql(_IN_TURN)}
+        SELECT platform_id, product_code, seller_code, place, effective_date AS date, sold AS units_sold,
+          (sold * price)::DECIMAL(38,2) AS total_sales_amount FROM stored
+        QUALIFY load = max(load) OVER (PARTITION BY platform_id, product_code, seller_code)"""
+    ),
+)
+def kept_latest_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest sales row of every product, as the loads have kept it from each delta."""
+    warehouse = loaded_warehouse(spark, sf)
+    held = latest_facts(warehouse, "fact_sales")
+
+    class Kept:
+        def read(self, name: str) -> DataFrame:
+            return held if name == "fact_sales" else warehouse.read(name)
+
+    return _loaded_facts(Kept(), "fact_sales")
+
+
+@check("STR-1 PIP-7 SRC-2", over_star(_facts_sql(_BY_MARKETPLACE)))
 def streamed_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """The same batches, taken up by one run of the file stream."""
-    folder = land_snapshots(spark, sf)
-    warehouse = Warehouse(spark, scratch_path(spark, "warehouse")).create()
-    tree = star.stored(spark, sf, "category_tree").where("platform_id = 12")
-    checkpoint = scratch_path(spark, "checkpoint")
-    run_incremental_stream(warehouse, folder, checkpoint, 12, "details", tree).awaitTermination()
-    return _loaded_facts(spark, warehouse)
+    """The same snapshots, taken up by one run of the file stream for each marketplace."""
+    warehouse = Warehouse(spark, scratch_path(spark, "streamed")).create()
+    dimensions.seed(warehouse, DAYS[1])
+    for name in ("sold_pairs", "category_tree"):
+        star.stored(spark, sf, name)
+
+    def run(platforms: tuple[int, ...]) -> None:
+        for p in platforms:
+            folder = scratch_path(spark, f"landing-{p}")
+            land_snapshots(spark, sf, p, folder)
+            checkpoint = scratch_path(spark, f"checkpoint-{p}")
+            run_incremental_stream(warehouse, folder, checkpoint, p, "details", _tree(spark, sf, p)).awaitTermination()
+
+    with ThreadPoolExecutor(2) as pool:
+        for part in [pool.submit(run, platforms) for platforms in ((10, 11), (12,))]:
+            part.result()
+    return _loaded_facts(warehouse, "fact_sales")
 
 
 @check(
     "PIP-7 PIP-9 JOI-9",
     over_star(
-        f"""{_RUN_SQL}, dated AS (SELECT *, max(load) OVER (PARTITION BY product_code, seller_code) AS last_load FROM stored),
-        amounts AS (SELECT *, (sold * price)::DECIMAL(38,2) AS amount FROM dated),
-        grown AS (
-          SELECT l.product_code, l.seller_code, l.effective_date AS date, l.sold - o.sold AS units_sold,
-            (l.amount - o.amount)::DECIMAL(38,2) AS total_sales_amount,
-            coalesce({_LABELS}, '60-DAY') AS report_period
-          FROM amounts l JOIN amounts o USING (product_code, seller_code) WHERE o.load < l.load)
-        SELECT * FROM grown WHERE units_sold > 0 AND total_sales_amount > 0"""
+        f"""{_stored_sql(_IN_TURN)}, amounts AS (SELECT *, (sold * price)::DECIMAL(38,2) AS amount FROM stored)
+        SELECT platform_id, product_code, seller_code, now.place, now.effective_date AS date, now.sold - past.sold AS units_sold,
+          (now.amount - past.amount)::DECIMAL(38,2) AS total_sales_amount,
+          coalesce((SELECT min(d)::VARCHAR FROM (VALUES (7), (14), (21), (30)) g(d)
+            WHERE d >= now.effective_date - past.effective_date), '60') || '-DAY' AS report_period
+        FROM amounts now JOIN amounts past USING (platform_id, product_code, seller_code)
+        WHERE past.load < now.load AND now.sold > past.sold AND now.amount > past.amount"""
     ),
 )
 def incremental_growth(spark: SparkSession, sf: str) -> DataFrame:
-    warehouse = Warehouse(spark, scratch_path(spark, "warehouse")).create()
-    tree = star.stored(spark, sf, "category_tree").where("platform_id = 12")
-    for date_id in _LOADS:
-        load = incremental.run_initial if date_id == _LOADS[0] else incremental.run_incremental
-        load(warehouse, landing.landing(spark, sf, 12, date_id), 12, DAYS[date_id], tree)
-    found = warehouse.read("fact_periodic_sales")
-    dates = warehouse.read("dim_date").select("date_id", "date")
-    sellers = warehouse.read("dim_seller").select("seller_id", "seller_code")
-    return found.join(dates, "date_id").join(sellers, "seller_id").select(
-        "product_code", "seller_code", "date", "units_sold", "total_sales_amount", "report_period"
-    )
+    """Growth rows that the loads of all snapshots have added."""
+    return _loaded_facts(loaded_warehouse(spark, sf), "fact_periodic_sales", "report_period")

@@ -15,9 +15,10 @@ from tradewind.schemas import LANDING, PLATFORMS
 from tradewind.session import scratch_path
 from tradewind.sinks import files as file_sink
 from tradewind.sinks import tables as table_sink
+from tradewind.sinks.ledger import insert_if_absent
 from tradewind.sources import landing as landing_source
 from tradewind.sources import pages as page_source
-from tradewind.sources import payloads, requests
+from tradewind.sources import payloads, requests, storage
 from tradewind.sources import tables as table_source
 
 DAYS = dict(CUTOFFS)
@@ -109,10 +110,34 @@ def chunk_sizes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@check("SNK-3", "SELECT url AS name FROM pages WHERE url NOT LIKE 'https:%'")
+@check(
+    "SNK-3",
+    """SELECT url AS name, CASE WHEN url LIKE 'https:%' THEN 1 ELSE 2 END AS batch FROM pages
+    WHERE url IS NOT NULL GROUP BY url""",
+)
 def files_to_land(spark: SparkSession, sf: str) -> DataFrame:
-    files = star.table(spark, sf, "pages").select(F.col("url").alias("name"))
-    return file_sink.land_if_absent(files, files.where(F.col("name").startswith("https:")))
+    """The manifest after two batches, a repeated batch and a late copy of everything."""
+    root = scratch_path(spark, "manifest")
+    urls = star.table(spark, sf, "pages").where("url IS NOT NULL").select(F.col("url").alias("name"))
+    secure = urls.where(F.col("name").startswith("https:"))
+    for number, (files, token) in enumerate(((secure, "one"), (urls, "two"), (urls, "two"), (urls, None)), 1):
+        file_sink.land_if_absent(files.withColumn("batch", F.lit(number)), root, token)
+    return table_source.read_table(spark, "landed", root)
+
+
+@check("SRT-6 SRC-6", over_star(f"SELECT max(day) AS day, count(DISTINCT day) AS batches FROM listing JOIN ({_DAY_SQL}) USING (date_id) WHERE platform_id = 11"))
+def files_taken_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Landing files taken up in two goes: the second lists only what has come since, a third finds nothing."""
+    folder, root = scratch_path(spark, "landing"), scratch_path(spark, "taken")
+    names = []
+    for days in ((1, 2, 3, 4), (5, 6), ()):
+        for date_id in days:
+            file_sink.write_chunks(landing.landing(spark, sf, 11, date_id), folder, "products", DAYS[date_id], 100_000)
+        landing_source.take_up(spark, folder, "products", root)
+        names.append(landing_source.files_by_time(landing_source.taken(spark, "products", root)).select("name", F.lit(len(days)).alias("days")))
+    assert names[1].count() == names[2].count()
+    day = F.regexp_extract("name", landing_source.FILE_DATE, 1)
+    return names[2].agg(F.max(day).alias("day"), F.count_distinct(day).alias("batches"))
 
 
 # ---- tables ----
@@ -157,13 +182,14 @@ def appended_table(spark: SparkSession, sf: str) -> DataFrame:
     return table_source.read_table(spark, "fact_sales", root).select("sale_id", "date_id", "platform_id", "units_sold")
 
 
-@check("SNK-5", over_star("SELECT seller_id, upper(seller_name) AS seller_name FROM dim_seller"))
+@check("SNK-5", over_star("SELECT seller_id, upper(seller_name) || '!' AS seller_name FROM dim_seller"))
 def swapped_table(spark: SparkSession, sf: str) -> DataFrame:
-    """A table rewritten from itself."""
+    """A table rewritten from itself twice; readers go by the pointer that is written last."""
     root = scratch_path(spark, "swap")
     table_sink.append_table(star.stored(spark, sf, "dim_seller"), "dim_seller", root)
-    current = table_source.read_table(spark, "dim_seller", root)
-    table_sink.swap_table(current.withColumn("seller_name", F.upper("seller_name")), "dim_seller", root)
+    for change in (F.upper("seller_name"), F.concat("seller_name", F.lit("!"))):
+        current = table_source.read_table(spark, "dim_seller", root)
+        table_sink.swap_table(current.withColumn("seller_name", change), "dim_seller", root)
     return table_source.read_table(spark, "dim_seller", root).select("seller_id", "seller_name")
 
 
@@ -184,12 +210,16 @@ def replaced_partitions(spark: SparkSession, sf: str) -> DataFrame:
     return table_source.read_table(spark, "dim_product", root).select("product_id", "sold")
 
 
-@check("SNK-6", "SELECT DISTINCT p_brand AS brand_name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50)")
+@check("SNK-6", "SELECT p_brand AS brand_name, CASE WHEN max(p_size = 50) THEN 1 ELSE 2 END AS round FROM part GROUP BY p_brand")
 def absent_brands(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands of large parts inserted first, then twice those of all parts: each is added once."""
+    root = scratch_path(spark, "brands")
     part = star.table(spark, sf, "part")
-    rows = part.select(F.col("p_brand").alias("brand_name")).distinct()
-    target = part.where("p_size = 50").select(F.col("p_brand").alias("brand_name"))
-    return table_sink.insert_if_absent(target, rows, ["brand_name"])
+    storage.make_dirs(spark, f"{root}/brands")
+    for number, rows in enumerate((part.where("p_size = 50"), part, part), 1):
+        brands = rows.select(F.col("p_brand").alias("brand_name")).distinct().withColumn("round", F.lit(number))
+        insert_if_absent(brands, "brands", root, ["brand_name"])
+    return table_source.read_table(spark, "brands", root)
 
 
 # ---- pages ----

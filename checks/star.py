@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tradewind.operators.skew import join_large
+from tradewind.operators.windows import latest_rows
 from tradewind.plans.dimensions import unknown_members
-from tradewind.schemas import PLATFORMS
+from tradewind.schemas import PLATFORMS, PRODUCT_KEY
 from tradewind.session import scratch_path
 from tradewind.sinks.tables import append_table
 from tradewind.sources.tables import read_table, rows_to_df
@@ -321,6 +322,17 @@ def fact_periodic_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def latest_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest sales rows of every product, folded from the older snapshots and the newest one."""
+    sales, last_id = stored(spark, sf_dir, "fact_sales"), CUTOFFS[-1][0]
+    older = latest_rows(sales.where(F.col("date_id") < last_id), PRODUCT_KEY)
+    return latest_rows(older.unionByName(sales.where(F.col("date_id") == last_id)), PRODUCT_KEY)
+
+
+def latest_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_rows(stored(spark, sf_dir, "fact_periodic_sales"), PRODUCT_KEY)
+
+
 def sold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with their seller, place and counters: what a crawl would see."""
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("n_nationkey"))
@@ -349,6 +361,8 @@ BUILDERS = {
     "dim_product": dim_product,
     "fact_sales": fact_sales,
     "fact_periodic_sales": fact_periodic_sales,
+    "latest_sales": latest_sales,
+    "latest_growth": latest_growth,
 }
 
 
@@ -406,7 +420,7 @@ dim_brand AS (
          replace(p_brand, 'Brand#', '')::BIGINT AS brand_code, p_brand AS brand_name, platform_id
   FROM (SELECT DISTINCT p_brand FROM part) b, dim_platform
   UNION ALL SELECT platform_id, -1, 'No Brand', platform_id FROM dim_platform),
-coded_part AS (
+coded_part AS MATERIALIZED (
   SELECT *, ascii(p_type)::BIGINT * 100 + length(p_type) AS c0,
          (ascii(p_type)::BIGINT * 100 + length(p_type)) * 10 + p_size % 5 AS c1,
          ((ascii(p_type)::BIGINT * 100 + length(p_type)) * 10 + p_size % 5) * 100 + p_size AS c2,
@@ -416,7 +430,7 @@ coded_part AS (
          (p_retailprice::DECIMAL(10,2) * (p_size * p_size)::DECIMAL(10,0) * 2)::DECIMAL(15,2) AS price,
          (p_retailprice::DECIMAL(10,2) * (p_size * p_size)::DECIMAL(10,0) * 3)::DECIMAL(15,2) AS original_price
   FROM part),
-category_tree AS (
+category_tree AS MATERIALIZED (
   SELECT DISTINCT category_code, platform_id, category_name,
          'https://c.example.com/' || category_code AS category_url, parent_code, level
   FROM (SELECT c0 AS category_code, p_type AS category_name, -1::BIGINT AS parent_code, 0 AS level FROM coded_part
@@ -429,7 +443,7 @@ dim_category AS (
          category_url, CASE WHEN level > 0 THEN platform_id * {REGION} + parent_code END AS parent_id, level
   FROM category_tree
   UNION ALL SELECT platform_id, -1, platform_id, 'Khác', 'No url', NULL, 0 FROM dim_platform),
-sold_pairs AS (
+sold_pairs AS MATERIALIZED (
   SELECT l_partkey, l_suppkey, sum(l_quantity::BIGINT)::BIGINT AS sold FROM lineitem GROUP BY ALL),
 dim_product AS (
   SELECT l_suppkey * {PAIR} + p_partkey + 1 AS product_id, p_partkey::VARCHAR AS product_code,
@@ -443,39 +457,36 @@ dim_product AS (
          (10 + l_suppkey % 3)::INT AS platform_id,
          CASE WHEN p_size <= 5 THEN DATE '{CUTOFFS[-1][1]}' END AS expired_date
   FROM sold_pairs JOIN coded_part ON p_partkey = l_partkey),
-counters AS (
+counters AS MATERIALIZED (
   SELECT date_id, date, l_partkey, l_suppkey, sum(l_quantity::BIGINT)::BIGINT AS units_sold
   FROM lineitem JOIN dim_date ON l_shipdate::DATE <= date
   GROUP BY ALL HAVING date_diff('day', max(l_shipdate::DATE), date) <= {LISTED_DAYS}),
-fact_sales AS (
+fact_sales AS MATERIALIZED (
   SELECT (l_suppkey * {PAIR} + p_partkey + 1) * 10 + date_id AS sale_id, date_id,
          (10 + l_suppkey % 3) * {REGION} + c3 AS category_id, (10 + l_suppkey % 3) * 100000 + brand_code AS brand_id,
          l_suppkey + 1 AS seller_id, l_suppkey * {PAIR} + p_partkey + 1 AS product_id,
          p_partkey::VARCHAR AS product_code, s_nationkey::BIGINT AS location_id, units_sold,
          (units_sold * price)::DECIMAL(38,2) AS total_sales_amount, (10 + l_suppkey % 3)::INT AS platform_id
   FROM counters JOIN coded_part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
-listing AS (
+listing AS MATERIALIZED (
   SELECT date_id, units_sold AS units, p.*, l_suppkey AS s_suppkey, s_name, n_name,
          (10 + l_suppkey % 3)::INT AS platform_id,
          'https://shop.example.com/' || replace(p_name, ' ', '-') || '-i.' || l_suppkey || '.' || p_partkey || '?sp=1'
            AS product_url
   FROM counters JOIN coded_part p ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
   JOIN nation ON n_nationkey = s_nationkey),
-numbered_sales AS (
-  SELECT f.*, d.date, row_number() OVER (PARTITION BY f.product_id ORDER BY f.date_id DESC) AS rn,
-         max(f.date_id) OVER () AS newest_id
-  FROM fact_sales f JOIN dim_date d ON f.date_id = d.date_id),
-fact_periodic_sales AS (
-  SELECT l.product_id * 10 + r.date_id AS snapshot_id, l.date_id, l.category_id, l.seller_id, l.product_id,
-         l.product_code, l.brand_id, l.location_id, l.units_sold - r.units_sold AS units_sold,
-         (l.total_sales_amount - r.total_sales_amount)::DECIMAL(38,2) AS total_sales_amount,
-         CASE WHEN date_diff('day', r.date, l.date) <= 7 THEN '7-DAY'
-              WHEN date_diff('day', r.date, l.date) <= 14 THEN '14-DAY'
-              WHEN date_diff('day', r.date, l.date) <= 21 THEN '21-DAY'
-              WHEN date_diff('day', r.date, l.date) <= 30 THEN '30-DAY' ELSE '60-DAY' END AS report_period,
-         l.platform_id
-  FROM numbered_sales r JOIN numbered_sales l ON r.product_id = l.product_id AND l.rn = 1
-  WHERE r.rn > 1 AND l.date_id = l.newest_id AND l.units_sold > r.units_sold)
+last_day AS MATERIALIZED (SELECT platform_id, max(date_id) AS date_id FROM fact_sales GROUP BY platform_id),
+at_last AS MATERIALIZED (SELECT s.* FROM fact_sales s SEMI JOIN last_day d ON s.platform_id = d.platform_id AND s.date_id = d.date_id),
+fact_periodic_sales AS MATERIALIZED (
+  SELECT now.product_id * 10 + past.date_id AS snapshot_id, now.date_id, now.category_id, now.seller_id, now.product_id,
+         now.product_code, now.brand_id, now.location_id, now.units_sold - past.units_sold AS units_sold,
+         (now.total_sales_amount - past.total_sales_amount)::DECIMAL(38,2) AS total_sales_amount,
+         coalesce((SELECT min_by(label, days) FROM (VALUES (7, '7-DAY'), (14, '14-DAY'), (21, '21-DAY'), (30, '30-DAY')) p(days, label)
+                   WHERE days >= (SELECT max(date) FROM dim_date) - (SELECT date FROM dim_date d WHERE d.date_id = past.date_id)),
+                  '60-DAY') AS report_period,
+         now.platform_id
+  FROM at_last now JOIN fact_sales past USING (product_id)
+  WHERE past.date_id < now.date_id AND past.units_sold < now.units_sold)
 """
 
 

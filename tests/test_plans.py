@@ -10,7 +10,7 @@ from checks.catalog import CHECKS
 from tradewind.operators.skew import salted_join
 from tradewind.operators.windows import latest_per_key, latest_rows
 from tradewind.plans import reports
-from tradewind.schemas import PRODUCT_KEY
+from tradewind.schemas import LATEST, PRODUCT_KEY, TABLES
 
 
 def plan(df):
@@ -23,12 +23,19 @@ def tables(spark, sf):
 
 
 def test_platform_choice_prunes_fact_partitions(tables):
-    text = plan(reports.sales_report(tables, platform_id=12))
+    ranked = {name: tables[name] for name in TABLES}
+    text = plan(reports.sales_report(ranked, platform_id=12))
     scan = next(line for line in text.splitlines() if "fact_sales" in line)
     assert "platform_id" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "= 12" in scan
 
 
+def test_kept_latest_rows_take_the_place_of_all_facts(tables):
+    for report, fact in ((reports.sales_report, "fact_sales"), (reports.growth_report, "fact_periodic_sales")):
+        text = plan(report(tables, platform_id=12))
+        assert f"/{fact}" not in text and LATEST[fact][0] in text
+
+
 def test_latest_rows_are_reduced_before_the_shuffle(tables):
     for df in (latest_rows(tables["fact_sales"], PRODUCT_KEY), latest_per_key(tables["fact_sales"], PRODUCT_KEY)):
         text = plan(df)

@@ -19,13 +19,25 @@ from tradewind.session import scratch_path
 from tradewind.sources import landing, payloads, requests
 from tradewind.sources.tables import rows_to_df
 
-ROOTS = [
+GARDEN = [
     {
-        "category_id": "1",
-        "category_name": "Electronics",
-        "category_urlKey": "electronics",
-        "children": [{"category_id": "2", "category_name": "Mobile Phones", "category_urlKey": "mobile-phones"}],
-    }
+        "category_id": "810",
+        "category_name": "Vườn & sân",
+        "category_urlKey": "garden",
+        "children": [
+            {"category_id": 820, "category_name": "Tools", "children": [{"category_id": "821", "category_name": "Spades", "category_urlKey": ""}]},
+            {"category_id": "none", "category_name": "Lost", "children": [{"category_id": "822", "category_name": "Lost too"}]},
+            {"category_id": "830", "category_name": "Seeds", "category_urlKey": "seeds", "children": []},
+        ],
+    },
+    {"category_id": "900", "category_name": None, "category_urlKey": "odds"},
+]
+GARDEN_ROWS = [
+    (810, 12, "Vườn & sân", "garden", -1, 0),
+    (820, 12, "Tools", "", 810, 1),
+    (821, 12, "Spades", "", 820, 2),
+    (830, 12, "Seeds", "seeds", 810, 1),
+    (900, 12, None, "odds", -1, 0),
 ]
 
 
@@ -60,46 +72,62 @@ def report(spark, entries):
 
 
 def test_tree_rows(spark):
-    bodies = spark.createDataFrame([(json.dumps(ROOTS),), (None,)], "body string")
-    tree = trees.flatten_tree(bodies, "body", P12)
+    """Null, empty, cut off and foreign bodies give no rows; nodes without a number go with all below them."""
+    texts = [json.dumps(GARDEN), None, "", "[{", "{}", "7", "[]", '"text"', "[1, null, [2]]"]
+    tree = trees.flatten_tree(spark.createDataFrame([(t,) for t in texts], "body string"), "body", P12)
     assert tree.schema.simpleString() == spark.createDataFrame([], TREE_ROW).schema.simpleString()
-    assert rows(tree) == [(1, 12, "Electronics", "electronics", -1, 0), (2, 12, "Mobile Phones", "mobile-phones", 1, 1)]
+    assert rows(tree) == sorted(GARDEN_ROWS)
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_trees_deeper_than_one_round(spark):
+    deep = {"category_id": "40", "category_name": "n40"}
+    for code in range(39, -1, -1):
+        deep = {"category_id": str(code), "category_name": f"n{code}", "children": [deep]}
+    tree = trees.flatten_tree(spark.createDataFrame([(json.dumps([deep]),)], "body string"), "body", P12)
+    assert rows(tree, "category_code", "parent_code", "level") == sorted(((k, k - 1, k) for k in range(41)), key=lambda r: tuple(map(str, r)))
 
 
 def test_categories_in_one_append_with_parent_ids(spark):
     warehouse = Warehouse(spark, scratch_path(spark, "cats")).create()
-    bodies = spark.createDataFrame([(json.dumps(ROOTS),)], "body string")
+    bodies = spark.createDataFrame([(json.dumps(GARDEN),)], "body string")
     with staging(spark) as stage:
         dimensions.load_categories(warehouse, trees.flatten_tree(bodies, "body", P12), stage)
         dimensions.load_categories(warehouse, trees.flatten_tree(bodies, "body", P12), stage)
     found = {r["category_code"]: r for r in warehouse.read("dim_category").collect()}
-    assert set(found) == {1, 2}
-    assert found[1]["parent_id"] is None
-    assert found[2]["parent_id"] == found[1]["category_id"]
+    assert set(found) == {code for code, *_ in GARDEN_ROWS}
+    ids = {code: found[code]["category_id"] for code in found} | {-1: None}
+    assert {code: found[code]["parent_id"] for code in found} == {code: ids[parent] for code, _, _, _, parent, _ in GARDEN_ROWS}
 
 
 @pytest.fixture(scope="module")
 def p12(spark):
+    """A brand under two spellings, a padded one, items without brand or seller, and a seller without a link."""
     data = "struct<brand: struct<id: bigint, name: string>, current_seller: struct<id: bigint, name: string, link: string>>"
-    return spark.createDataFrame(
-        [(((n, f" Brand{c} "), (n, f"Seller{c}", f"url{c}")),) for n, c in ((1, "A"), (2, "B"), (3, "C"), (3, "C"))],
-        f"data {data}",
-    )
+    offers = [
+        ((700, "  Lửa Việt "), (31, "Kho Hà Nội", "kho-hn")),
+        ((705, "Northwind"), (31, "Kho Hà Nội", "kho-hn")),
+        (None, (44, " Chợ Đêm", None)),
+        ((705, "Northwind"), None),
+        ((None, "Nameless"), (None, "Nobody", "x")),
+    ]
+    return spark.createDataFrame([((brand, seller),) for brand, seller in offers], f"data {data}")
 
 
 def test_brand_rows(p12):
-    assert rows(cleaning.brand_rows(p12, P12)) == [(1, "BrandA", 12), (2, "BrandB", 12), (3, "BrandC", 12)]
+    assert rows(cleaning.brand_rows(p12, P12)) == [(700, "Lửa Việt", 12), (705, "Northwind", 12)]
 
 
 def test_seller_rows(p12):
-    found = cleaning.seller_rows(p12, P12).select("seller_code", "seller_name", "platform_id", "seller_url")
-    assert rows(found) == [(n, f"Seller{c}", 12, f"url{c}") for n, c in ((1, "A"), (2, "B"), (3, "C"))]
+    found = cleaning.seller_rows(p12, P12).select("seller_code", "seller_url", "platform_id")
+    assert rows(found) == [(31, "kho-hn", 12), (44, None, 12)]
 
 
 def test_only_unknown_brands_are_new(spark, p12):
-    table = spark.createDataFrame([(1, 12), (2, 12)], "brand_code bigint, platform_id int")
+    table = spark.createDataFrame([(700, 11), (705, 12)], "brand_code bigint, platform_id int")
     image = cleaning.brand_rows(p12, P12)
-    assert rows(joins.new_rows(image, table, ["brand_code", "platform_id"])) == [(3, "BrandC", 12)]
+    assert rows(joins.new_rows(image, table, ["brand_code", "platform_id"])) == [(700, "Lửa Việt", 12)]
 
 
 def test_seeds_are_added_once(spark):
@@ -144,83 +172,85 @@ def test_file_without_date_is_an_error(spark):
 
 
 def test_leaves(spark):
-    tree = spark.createDataFrame(
-        [(1, 12, "a", "", -1, 0), (2, 12, "b", "", -1, 0), (3, 12, "c", "", 2, 1)], TREE_ROW
-    )
-    assert rows(trees.leaves(tree), "category_code") == [(1,), (3,)]
-    under = trees.leaves_under(tree, ["a", "b"], ["c"])
-    assert rows(under, "category_code") == [(1,), (3,)]
-    assert rows(trees.leaves_under(tree, ["b"], ["other"]), "category_code") == []
+    nodes = [(5, 12, "Kitchen", "", -1, 0), (6, 12, "Bath", "", -1, 0), (7, 12, "Towels", "", 6, 1), (7, 11, "Towels", "", 5, 1)]
+    tree = spark.createDataFrame(nodes, TREE_ROW)
+    assert rows(trees.leaves(tree), "category_code", "platform_id") == [(5, 12), (7, 11), (7, 12)]
+    assert rows(trees.leaves_under(tree, ["kitchen", "bath"], ["towels"]), "category_code") == [(5,), (7,)]
+    assert rows(trees.leaves_under(tree, ["bath"], ["soap"]), "category_code") == []
 
 
 def test_sub_category_payload(spark):
-    body = json.dumps({"data": [{"id": 21, "name": "áo dài", "url_key": "ao-dai"}, {"id": 22, "name": "áo sơ mi", "url_key": "ao-so-mi", "children": []}]})
-    df = spark.createDataFrame([("2", "nữ", "nu", body)], "i string, n string, k string, body string")
-    record = json.loads(payloads.category_pages(df, "body", ("i", "n", "k")).first()["record"])
-    assert record["category_id"] == "2"
-    assert [c["category_name"] for c in record["children"]] == ["áo dài", "áo sơ mi"]
-    assert all("children" not in c for c in record["children"])
+    """Nested pages of any depth; bodies that are null, cut off or no page give no record."""
+    page = {"data": [{"id": 61, "name": 'Nồi "inox"', "url_key": "noi", "children": [{"id": "62", "name": "tab\t", "url_key": None, "children": []}]}, {"id": 63, "name": "Chảo", "url_key": "chao"}]}
+    level = {"id": 9, "name": "end", "url_key": "e"}
+    for number in range(8, -1, -1):
+        level = {"id": number, "name": f"l{number}", "url_key": "k", "children": [level]}
+    texts = [json.dumps(page), None, "", "{", "[]", '{"other": 1}', json.dumps({"data": []}), json.dumps({"data": [level]})]
+    df = spark.createDataFrame([(str(k), f"n{k}", "key", t) for k, t in enumerate(texts)], "i string, n string, k string, body string")
+    found = payloads.normalize_payload(df, "body", "category", parent=("i", "n", "k"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    records = {r.category_id: json.loads(r.record) for r in found.collect()}
+
+    def record(code, name, key, children):
+        below = [record(str(c["id"]), c["name"], c["url_key"], c.get("children") or []) for c in children]
+        return {"category_id": code, "category_name": name, "category_urlKey": key} | ({"children": below} if below else {})
+
+    assert records == {str(k): record(str(k), f"n{k}", "key", json.loads(texts[k])["data"]) for k in (0, 6, 7)}
+    with pytest.raises(ValueError, match="parent"):
+        payloads.normalize_payload(df, "body", "category")
 
 
 def test_detail_payload(spark):
-    df = spark.createDataFrame([('{"id":"1","categories":{"id":"100"}}',), ('{"id":2}',), ("{}",), ("x",)], "body string")
+    bodies = ['{"id":"77","categories":{"id":"5005"}}', '{"id":78,"categories":null}', '{"id":null}', "{}", "x", None]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
     found = payloads.normalize_payload(df, "body", "detail", F.lit("0"))
-    assert rows(found, "product_id", "category_id") == [("1", "100"), ("2", "")]
+    assert rows(found, "product_id", "category_id") == [("77", "5005"), ("78", "")]
 
 
 def test_page_urls(spark):
-    df = spark.createDataFrame([(1, "key1", 3), (2, "key2", 0)], "c int, k string, n int")
-    found = requests.expand_last_page(df, "n", "c=%d&k=%s&page=%d", ["c", "k"])
-    assert rows(found, "page_url") == [(f"c=1&k=key1&page={p}",) for p in (1, 2, 3)]
-    ids = spark.createDataFrame([(1, 10), (2, 20)], "p int, s int")
-    assert rows(requests.detail_urls(ids, "products/%d?spid=%d", ["p", "s"]), "url") == [
-        ("products/1?spid=10",),
-        ("products/2?spid=20",),
-    ]
+    df = spark.createDataFrame([(4, "hats", 2), (5, "gloves", 0), (6, "socks", None)], "c int, k string, n int")
+    found = requests.expand_last_page(df, "n", "list?cat=%d&name=%s&p=%d", ["c", "k"])
+    assert rows(found, "page_url") == [("list?cat=4&name=hats&p=1",), ("list?cat=4&name=hats&p=2",)]
+    ids = spark.createDataFrame([(9, 90)], "p int, s int")
+    assert rows(requests.detail_urls(ids, "item/%d/from/%d", ["p", "s"]), "url") == [("item/9/from/90",)]
 
 
 def test_summary(spark):
     full = report(
         spark,
         [
-            {"date": dt.date(2023, 7, 1), "sold": 100, "amount": 1000, "code": "P1", "n": 1},
-            {"date": dt.date(2023, 7, 2), "sold": 150, "amount": 1500, "code": "P2", "n": 2},
+            {"date": dt.date(2021, 2, 28), "sold": 7, "amount": 90, "code": "a", "n": 4},
+            {"date": dt.date(2021, 3, 1), "sold": 11, "amount": 0, "code": "a", "n": 4},
+            {"date": None, "sold": 1, "amount": 5, "code": "b", "n": 9},
         ],
     )
-    assert tuple(rollups.summary(full).first()) == (dt.date(2023, 7, 2), 250, Decimal("2500.00"), 2, 2)
+    assert tuple(rollups.summary(full).first()) == (dt.date(2021, 3, 1), 19, Decimal("95.00"), 2, 2)
     assert tuple(rollups.summary(report(spark, [])).first()) == (None, 0, Decimal("0.00"), 0, 0)
 
 
 @pytest.mark.parametrize("chart", [rollups.top_categories, rollups.top_sellers, rollups.top_brands, rollups.top_locations])
 def test_charts(spark, chart):
-    entries = [{"n": 1, "sold": 100, "amount": 1000}, {"n": 1, "sold": 150, "amount": 1500}, {"n": 2, "sold": 200, "amount": 2000}]
+    """Units and amounts put the groups in opposite orders."""
+    entries = [{"n": 3, "sold": 4, "amount": 70}, {"n": 8, "sold": 9, "amount": 20}, {"n": 3, "sold": 4, "amount": 30}]
     full = report(spark, entries)
-    assert [tuple(r) for r in chart(full, rollups.SALES).collect()] == [("X1", 250), ("X2", 200)]
-    assert [tuple(r) for r in chart(full, rollups.REVENUE).collect()] == [("X1", 2500), ("X2", 2000)]
+    assert [tuple(r) for r in chart(full, rollups.SALES).collect()] == [("X8", 9), ("X3", 8)]
+    assert [tuple(r) for r in chart(full, rollups.REVENUE).collect()] == [("X3", 100), ("X8", 20)]
     assert chart(report(spark, []), rollups.SALES).count() == 0
 
 
 def test_platform_chart(spark):
-    full = report(spark, [{"n": 1, "sold": 100}, {"n": 1, "sold": 150}, {"n": 2, "sold": 200}])
-    assert rows(rollups.by_platform(full, rollups.SALES)) == [("Platform1", 250), ("Platform2", 200)]
+    full = report(spark, [{"n": 5, "sold": 0}, {"n": 6, "sold": 13}, {"n": 6, "sold": 29}])
+    assert rows(rollups.by_platform(full, rollups.SALES)) == [("Platform5", 0), ("Platform6", 42)]
 
 
 def test_price_bands(spark):
-    full = report(
-        spark,
-        [
-            {"price": 5000, "sold": 100, "amount": 500000, "platform": 1},
-            {"price": 25000, "sold": 150, "amount": 1000000, "platform": 2},
-            {"price": 150000, "sold": 200, "amount": 1500000, "platform": 1},
-            {"price": -1, "sold": 9, "amount": 9, "platform": 1},
-        ],
-    )
+    """Prices on both sides of a band's edge, and one that falls in no band."""
+    edges = [0, 9_999, 10_000, 49_999, 50_000, 99_999, 100_000]
+    full = report(spark, [{"price": p, "sold": 1, "amount": k + 1, "platform": 1} for k, p in enumerate(edges)] + [{"price": -5, "sold": 100, "amount": 1}])
     found = [(r["band"], r["total_sold"], r["platform_amounts"]) for r in rollups.price_bands(full).collect()]
-    assert found == [
-        (1, 100, {"Platform1": 500000}),
-        (2, 150, {"Platform2": 1000000}),
-        (4, 200, {"Platform1": 1500000}),
-    ]
+    assert sum(sold for _, sold, _ in found) == len(edges)
+    assert [band for band, _, _ in found] == sorted(band for band, _, _ in found)
+    assert sum(amounts["Platform1"] for _, _, amounts in found) == sum(range(1, len(edges) + 1))
 
 
 def test_empty_report_has_an_empty_page(spark):

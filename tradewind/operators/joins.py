@@ -63,13 +63,17 @@ def changed_products(
 
 
 def new_facts(image: DataFrame, fact: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
-    """Fact rows whose key combination was never stored; a null in the key counts as new."""
-    return new_rows(image, fact, keys, unique)
+    """Fact rows whose key combination was never stored; a null in the key counts as new.
+
+    A product id stands for one code and seller, so these join the key without a change of the result. Facts
+    in buckets of both are then compared where they lie, and only the image is shuffled.
+    """
+    return new_rows(image, fact, [*keys, *(c for c in PRODUCT_KEY if c not in keys)], unique)
 
 
 def new_periodic(growth: DataFrame, table: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
-    """Growth rows not stored yet; neither date nor period belongs to the key."""
-    return new_rows(growth, table, keys, unique)
+    """Growth rows not stored yet; neither date nor period belongs to the key. Buckets serve as in `new_facts`."""
+    return new_rows(growth, table, [*keys, *(c for c in PRODUCT_KEY if c not in keys)], unique)
 
 
 def with_previous(image: DataFrame, latest: DataFrame, unique: bool = False) -> DataFrame:

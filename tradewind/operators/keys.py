@@ -25,17 +25,22 @@ def group_offsets(counts: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def assign_ids(
-    df: DataFrame, id_col: str, keys: list[str], existing: DataFrame | None = None, digits: int = DIGITS
+    df: DataFrame,
+    id_col: str,
+    keys: list[str],
+    existing: DataFrame | None = None,
+    digits: int = DIGITS,
+    start: int = 0,
 ) -> DataFrame:
-    """Add dense ids that follow the highest id of the existing rows; keys must be unique."""
+    """Add dense ids that follow `start`, or the highest id of the existing rows; keys must be unique."""
     tagged = df.withColumn("_digest", key_digest(keys)).withColumn("_group", F.substring("_digest", 1, digits))
     counts = tagged.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = group_offsets(counts, [F.col("_group")]).select("_group", "_offset")
     inside = Window.partitionBy("_group").orderBy("_digest", *keys)
-    start = F.lit(0).cast("bigint")
+    first = F.lit(start).cast("bigint")
     if existing is not None:
-        start = F.coalesce(existing.agg(F.greatest(F.max(id_col), F.lit(0))).scalar(), F.lit(0)).cast("bigint")
+        first = F.coalesce(existing.agg(F.greatest(F.max(id_col), F.lit(0))).scalar(), F.lit(0)).cast("bigint")
     numbered = tagged.withColumn("_rn", F.row_number().over(inside))
     return numbered.join(F.broadcast(offsets), "_group").select(
-        (start + F.col("_offset") + F.col("_rn")).cast("bigint").alias(id_col), *df.columns
+        (first + F.col("_offset") + F.col("_rn")).cast("bigint").alias(id_col), *df.columns
     )

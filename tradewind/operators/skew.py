@@ -9,7 +9,10 @@ at most, so the copies of one right row set number no more than the tasks. Other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
@@ -21,6 +24,21 @@ MERGERS = 128
 _SUPPORTED = {"inner", "left", "left_semi", "left_anti"}
 
 
+@contextmanager
+def colocated(spark: SparkSession) -> Iterator[None]:
+    """Joins planned within may use a layout by some of their keys, such as buckets, instead of a shuffle by all."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Spark's size estimate of a plan; None where the session does not expose it.
 

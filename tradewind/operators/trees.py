@@ -2,42 +2,57 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind import functions as X
 from tradewind.operators.skew import join_large
-from tradewind.schemas import P11, TREE_P11, TREE_ROW, UNKNOWN_CODE
+from tradewind.schemas import P11, TREE_P11, UNKNOWN_CODE
+
 
+#: Levels that one round of a flattening opens; deeper trees take more rounds.
+LEVELS_AT_ONCE = 8
 
-def _walk(nodes: list[dict], platform_id: int) -> Iterator[tuple]:
-    pending = [(node, UNKNOWN_CODE, 0) for node in reversed(nodes)]
-    while pending:
-        node, parent, level = pending.pop()
-        code = int(node["category_id"])
-        url = node.get("category_urlKey", "")
-        yield code, platform_id, node["category_name"], url, parent, level
-        pending.extend((child, code, level + 1) for child in reversed(node.get("children") or []))
+
+def _opened(rows: DataFrame) -> DataFrame:
+    """Every closed node as itself, now open, and its children, closed, one level below."""
+    node = F.col("node.tree")
+    code = F.try_variant_get(node, "$.category_id", "bigint")
+    children = F.coalesce(F.try_variant_get(node, "$.children", "array<variant>"), F.array().cast("array<variant>"))
+    own = F.struct(node.alias("tree"), F.col("node.parent").alias("parent"), F.col("node.level").alias("level"), F.lit(True).alias("open"))
+    below = F.transform(
+        children,
+        lambda child: F.struct(child.alias("tree"), code.alias("parent"), (F.col("node.level") + 1).alias("level"), F.lit(False).alias("open")),
+    )
+    opened = F.when(F.col("node.open"), F.array(own)).when(code.isNotNull(), F.concat(F.array(own), below))
+    return rows.select(F.explode(opened).alias("node"))
 
 
 def flatten_tree(df: DataFrame, body: str, platform_id: int) -> DataFrame:
     """Rows of category trees of any depth, one JSON array of roots per input row.
 
-    A recursive type has no DataFrame form, so each body is walked inside its task.
+    Bodies are parsed once and opened level by level in one pass; only while closed nodes are left does another
+    round follow. A body that is null, empty or no array of nodes gives no rows; a node without a number as its
+    id is left out with all below it.
     """
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["category_code", "platform_id", "category_name", "category_url", "parent_code", "level"]
-        for batch in batches:
-            for text in batch[body]:
-                if text is not None:
-                    yield pd.DataFrame(list(_walk(json.loads(text), platform_id)), columns=columns)
-
-    return df.select(body).mapInPandas(walk, TREE_ROW)
+    roots = F.explode(F.try_variant_get(F.try_parse_json(body), "$", "array<variant>"))
+    fields = [F.col("tree"), F.lit(UNKNOWN_CODE).cast("bigint").alias("parent"), F.lit(0).alias("level"), F.lit(False).alias("open")]
+    rows = df.select(roots.alias("tree")).select(F.struct(*fields).alias("node"))
+    while True:
+        for _ in range(LEVELS_AT_ONCE):
+            rows = _opened(rows)
+        closed = rows.where(~F.col("node.open"))
+        if closed.isEmpty():
+            break
+    node = F.col("node.tree")
+    return rows.select(
+        F.try_variant_get(node, "$.category_id", "bigint").alias("category_code"),
+        F.lit(platform_id).cast("int").alias("platform_id"),
+        F.try_variant_get(node, "$.category_name", "string").alias("category_name"),
+        F.coalesce(F.try_variant_get(node, "$.category_urlKey", "string"), F.lit("")).alias("category_url"),
+        F.col("node.parent").alias("parent_code"),
+        F.col("node.level").alias("level"),
+    )
 
 
 def flatten_tree3(df: DataFrame, body: str, platform_id: int = P11) -> DataFrame:

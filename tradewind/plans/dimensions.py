@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from tradewind.functions import date_parts
 from tradewind.operators.cleaning import brand_rows, dedupe, location_rows, seller_rows
 from tradewind.operators.joins import new_rows
-from tradewind.operators.keys import assign_ids
 from tradewind.operators.sets import union_all
 from tradewind.operators.trees import resolve_parents
-from tradewind.plans.warehouse import Stage, Warehouse
+from tradewind.plans.warehouse import Stage, Warehouse, staging
 from tradewind.schemas import (
     P10,
     P11,
@@ -27,6 +26,7 @@ from tradewind.schemas import (
     UNKNOWN_SELLER_NAME,
     UNKNOWN_URL,
 )
+from tradewind.sinks.ledger import insert_if_absent
 from tradewind.sources.tables import rows_to_df
 
 NATURAL_KEYS = {
@@ -38,22 +38,17 @@ NATURAL_KEYS = {
 }
 
 
-def with_ids_after(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """Rows with ids after the highest one of the dimension."""
-    id_col, keys = NATURAL_KEYS[name]
-    return assign_ids(rows, id_col, keys, existing=table)
-
-
 def insert_new(warehouse: Warehouse, name: str, image: DataFrame, stage: Stage) -> None:
     """Append what the dimension lacks; the new rows are found once and then numbered."""
-    table = warehouse.read(name)
-    fresh = stage(new_rows(image, table, NATURAL_KEYS[name][1], unique=True), name)
-    if not fresh.isEmpty():
-        warehouse.append(name, with_ids_after(fresh, table, name))
+    id_col, keys = NATURAL_KEYS[name]
+    warehouse.add(name, lambda table: stage(new_rows(image, table, keys, unique=True), name), id_col=id_col, keys=keys)
 
 
-def date_row(spark: SparkSession, as_of: dt.date | str) -> DataFrame:
-    return spark.range(1).select(*date_parts(F.lit(str(as_of)).cast("date")))
+def days_of(spark: SparkSession, as_of: dt.date | str | DataFrame) -> DataFrame:
+    """Distinct days as `date`: of a frame that has such a column, or the given one."""
+    if isinstance(as_of, DataFrame):
+        return as_of.where("date IS NOT NULL").select("date").distinct()
+    return spark.range(1).select(F.lit(str(as_of)).cast("date").alias("date"))
 
 
 def unknown_members(platforms: DataFrame) -> dict[str, DataFrame]:
@@ -80,7 +75,7 @@ def unknown_members(platforms: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _present_seeds(warehouse: Warehouse, as_of: dt.date | str) -> set[tuple[str, int]]:
+def _present_seeds(warehouse: Warehouse) -> set[tuple[str, int]]:
     """Which seed rows exist: at most one per table and platform, so the answer is a handful of rows."""
     code = F.lit(UNKNOWN_CODE)
     found = [
@@ -92,20 +87,18 @@ def _present_seeds(warehouse: Warehouse, as_of: dt.date | str) -> set[tuple[str,
         )
     ]
     place = warehouse.read("dim_location").where(F.col("location_id") == UNKNOWN_LOCATION_ID)
-    today = warehouse.read("dim_date").where(F.col("date") == F.lit(str(as_of)).cast("date"))
     nowhere = F.lit(0).alias("platform_id")
     found += [
         warehouse.read("dim_platform").select(F.lit("dim_platform").alias("name"), "platform_id"),
         place.select(F.lit("dim_location").alias("name"), nowhere),
-        today.select(F.lit("dim_date").alias("name"), nowhere),
     ]
     return {(row["name"], row["platform_id"]) for row in union_all(*found).distinct().collect()}
 
 
-def seed(warehouse: Warehouse, as_of: dt.date | str) -> None:
-    """Platforms, the date row and every unknown member, each only when absent."""
+def seed(warehouse: Warehouse, as_of: dt.date | str | DataFrame) -> None:
+    """Platforms, the rows of one or many days and every unknown member, each only when absent."""
     spark = warehouse.spark
-    present = _present_seeds(warehouse, as_of)
+    present = _present_seeds(warehouse)
 
     def absent(name: str) -> list[int]:
         return [p for p in PLATFORMS if (name, p) not in present]
@@ -113,20 +106,23 @@ def seed(warehouse: Warehouse, as_of: dt.date | str) -> None:
     def platforms(ids: list[int]) -> DataFrame:
         return rows_to_df(spark, [(p, PLATFORMS[p]) for p in ids], "platform_id int, platform_name string")
 
+    def insert(name: str, rows: DataFrame) -> None:
+        id_col, keys = NATURAL_KEYS[name]
+        warehouse.add(name, lambda table: new_rows(rows, table, keys), id_col=id_col, keys=keys)
+
     if absent("dim_platform"):
-        warehouse.append("dim_platform", platforms(absent("dim_platform")))
-    if ("dim_date", 0) not in present:
-        today = date_row(spark, as_of)
-        warehouse.append("dim_date", with_ids_after(today, warehouse.read("dim_date"), "dim_date"))
+        insert_if_absent(platforms(absent("dim_platform")), "dim_platform", warehouse.root, ["platform_id"])
+    days = days_of(spark, as_of).select(*date_parts(F.col("date")))
+    with staging(spark) as stage:
+        insert_new(warehouse, "dim_date", days, stage)
     for name in ("dim_category", "dim_brand", "dim_seller"):
         if absent(name):
-            rows = unknown_members(platforms(absent(name)).select("platform_id"))[name]
-            warehouse.append(name, with_ids_after(rows, warehouse.read(name), name))
+            insert(name, unknown_members(platforms(absent(name)).select("platform_id"))[name])
     if ("dim_location", 0) not in present:
         place = rows_to_df(
             spark, [(UNKNOWN_LOCATION_ID, UNKNOWN_LOCATION_NAME)], "location_id bigint, location_name string"
         )
-        warehouse.append("dim_location", place)
+        insert_if_absent(place, "dim_location", warehouse.root, ["location_id"])
 
 
 def category_rows(tree: DataFrame) -> DataFrame:
@@ -134,17 +130,17 @@ def category_rows(tree: DataFrame) -> DataFrame:
     return dedupe(tree, ["category_code", "platform_id"], ["level", "category_name", "category_url", "parent_code"])
 
 
-def category_additions(fresh: DataFrame, dim_category: DataFrame) -> DataFrame:
-    """New categories with ids and parent ids; parents may be new or known."""
-    return resolve_parents(with_ids_after(fresh, dim_category, "dim_category"), known=dim_category)
-
-
 def load_categories(warehouse: Warehouse, tree: DataFrame, stage: Stage) -> None:
-    table = warehouse.read("dim_category")
-    keys = NATURAL_KEYS["dim_category"][1]
-    fresh = stage(new_rows(category_rows(tree), table, keys, unique=True), "dim_category")
-    if not fresh.isEmpty():
-        warehouse.append("dim_category", category_additions(fresh, table))
+    """New categories with ids and parent ids; parents may be new or known."""
+    id_col, keys = NATURAL_KEYS["dim_category"]
+    rows = category_rows(tree)
+    warehouse.add(
+        "dim_category",
+        lambda table: stage(new_rows(rows, table, keys, unique=True), "dim_category"),
+        id_col=id_col,
+        keys=keys,
+        finish=lambda fresh, table: resolve_parents(fresh, known=table),
+    )
 
 
 def dimension_images(rows: DataFrame, platform_id: int) -> dict[str, DataFrame]:

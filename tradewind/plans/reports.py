@@ -25,7 +25,7 @@ from tradewind.operators.joins import star
 from tradewind.operators.ranking import page_info, page_rows
 from tradewind.operators.trees import subtree
 from tradewind.operators.windows import latest_rows, longest_period
-from tradewind.schemas import PRODUCT_KEY
+from tradewind.schemas import LATEST, PRODUCT_KEY
 from tradewind.sources.tables import rows_to_df
 
 KEYWORD_COLUMNS = ["category_name", "product_name", "product_description"]
@@ -40,6 +40,14 @@ def _in_category(
     return in_subtree(facts, subtree(tables["dim_category"], platform_id, category_id))
 
 
+def latest_of(tables: Mapping[str, DataFrame], fact: str, platform_id: int | None) -> DataFrame:
+    """Rows of the latest date of each product: as the loads have kept them, else ranked from all facts."""
+    kept = LATEST[fact][0]
+    if kept in tables:
+        return where_opt(tables[kept], "platform_id", platform_id)
+    return latest_rows(where_opt(tables[fact], "platform_id", platform_id), PRODUCT_KEY)
+
+
 def growth_report(
     tables: Mapping[str, DataFrame],
     platform_id: int | None = None,
@@ -48,10 +56,10 @@ def growth_report(
     keywords: str | None = None,
 ) -> DataFrame:
     """Growth rows of the latest date of each product, in the longest period that the choice accepts."""
-    facts = where_opt(tables["fact_periodic_sales"], "platform_id", platform_id)
-    recent = positive(latest_rows(facts, PRODUCT_KEY), ["units_sold", "total_sales_amount"])
+    latest = latest_of(tables, "fact_periodic_sales", platform_id)
+    recent = positive(latest, ["units_sold", "total_sales_amount"])
     chosen = longest_period(period_match(recent, period), PRODUCT_KEY)
-    wide = star(_in_category(chosen, tables, platform_id, category_id), tables, facts, single=True)
+    wide = star(_in_category(chosen, tables, platform_id, category_id), tables, latest, single=True)
     return keyword_match(wide, keywords, KEYWORD_COLUMNS).select(
         F.col("snapshot_id").alias("id"),
         "date_id",
@@ -86,9 +94,9 @@ def sales_report(
     keywords: str | None = None,
 ) -> DataFrame:
     """Latest sales snapshot of each product."""
-    facts = where_opt(tables["fact_sales"], "platform_id", platform_id)
-    recent = positive(latest_rows(facts, PRODUCT_KEY), ["units_sold", "total_sales_amount"])
-    wide = star(_in_category(recent, tables, platform_id, category_id), tables, facts, single=True)
+    latest = latest_of(tables, "fact_sales", platform_id)
+    recent = positive(latest, ["units_sold", "total_sales_amount"])
+    wide = star(_in_category(recent, tables, platform_id, category_id), tables, latest, single=True)
     return keyword_match(wide, keywords, KEYWORD_COLUMNS).select(
         F.col("sale_id").alias("id"),
         "date_id",

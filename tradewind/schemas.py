@@ -112,5 +112,11 @@ PARTITIONS = {
     "fact_periodic_sales": ["platform_id"],
 }
 
+# Facts may lie in buckets of one product and seller, where the warehouse was created with a number of buckets.
+BUCKETED = {"fact_sales": ["product_code", "seller_id"], "fact_periodic_sales": ["product_code", "seller_id"]}
+
+# Facts whose latest rows per product are kept in a table of their own, with the id that tells what is new.
+LATEST = {"fact_sales": ("latest_sales", "sale_id"), "fact_periodic_sales": ("latest_growth", "snapshot_id")}
+
 # Fixed value: the marketplace whose landing files are indented arrays over several lines.
 MULTILINE_LANDING = frozenset({P10})

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tradewind.operators.joins import new_rows
-from tradewind.schemas import PARTITIONS, TABLES
+from tradewind.schemas import BUCKETED, PARTITIONS, TABLES
 from tradewind.sources import storage
+from tradewind.sources.tables import Pointer, bucket_count, pointer, table_path
 
 
-def _conform(df: DataFrame, name: str) -> DataFrame:
+def conform(df: DataFrame, name: str) -> DataFrame:
     """Columns and types of the declared table; columns that the frame lacks become null."""
     if name not in TABLES:
         return df
@@ -26,8 +27,25 @@ def _conform(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def _path(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/{name}"
+def write_rows(df: DataFrame, name: str, path: str, root: str, mode: str = "errorifexists", **options: str) -> None:
+    """Write rows of a table to a folder in the table's layout.
+
+    Where the warehouse has buckets, rows of the facts go to one file per bucket and partition, in a new folder.
+    """
+    spark, layout = df.sparkSession, PARTITIONS.get(name, [])
+    count = bucket_count(spark, root) if name in BUCKETED else 0
+    if not count:
+        df.write.mode(mode).options(**options).partitionBy(*layout).parquet(path)
+        return
+    if mode != "errorifexists":
+        raise ValueError(f"{name} is bucketed: rows are added by the ledger, which writes them to a folder of their own")
+    keys, view = BUCKETED[name], f"rows_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.hive.manageFilesourcePartitions", "false")
+    try:
+        writer = df.repartition(count, *keys).write.partitionBy(*layout).bucketBy(count, *keys).sortBy(*keys)
+        writer.option("path", path).saveAsTable(view)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {view}")
 
 
 def append_table(df: DataFrame, name: str, root: str | None = None) -> None:
@@ -35,7 +53,7 @@ def append_table(df: DataFrame, name: str, root: str | None = None) -> None:
     if root is None:
         df.write.mode("append").saveAsTable(name)
         return
-    _conform(df, name).write.mode("append").partitionBy(*PARTITIONS.get(name, [])).parquet(_path(root, name))
+    write_rows(conform(df, name), name, table_path(df.sparkSession, name, root), root, "append")
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, tasks: int, batch_rows: int = 10_000, **options: str) -> None:
@@ -49,38 +67,32 @@ def replace_partitions(df: DataFrame, name: str, root: str) -> None:
     Spark writes to a staging folder first and exchanges the partitions when the job commits, so the
     frame may come from the table itself.
     """
-    _conform(df, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *PARTITIONS[name]
-    ).parquet(_path(root, name))
+    path = table_path(df.sparkSession, name, root)
+    write_rows(conform(df, name), name, path, root, "overwrite", partitionOverwriteMode="dynamic")
 
 
-def swap_table(df: DataFrame, name: str, root: str) -> None:
-    """Write a whole new version next to the table, then exchange the two by renaming.
+def swap_table(df: DataFrame, name: str, root: str, after: Pointer | None = None, mark: int = 0) -> bool:
+    """Write a whole new version of a table, then point to it; False when another writer has swapped it meanwhile.
 
-    When the write fails the old version stays; when the exchange fails it is put back.
+    Until the pointer is written, readers see the old version, and they never see a part of either. A write
+    that fails or breaks off leaves the old version in place. `after` is the pointer that the rows were computed
+    from. The version before stays for readers that still use it; older ones go.
     """
-    spark = df.sparkSession
-    target = _path(root, name)
-    mark = uuid.uuid4().hex
-    staging, former = f"{target}.new-{mark}", f"{target}.old-{mark}"
+    spark, root = df.sparkSession, root.rstrip("/")
+    folder = f"{root}/_versions/{name}"
+    after = pointer(spark, name, root) if after is None else after
+    path = f"{root}/_versions/{name}-{after.number + 1:012d}-{uuid.uuid4().hex}"
     try:
-        _conform(df, name).write.partitionBy(*PARTITIONS.get(name, [])).parquet(staging)
+        write_rows(conform(df, name), name, path, root)
     except Exception:
-        storage.remove(spark, staging)
+        storage.remove(spark, path)
         raise
-    had_table = storage.exists(spark, target)
-    if had_table:
-        storage.rename(spark, target, former)
-    try:
-        storage.rename(spark, staging, target)
-    except Exception:
-        if had_table:
-            storage.rename(spark, former, target)
-        raise
-    if had_table:
-        storage.remove(spark, former)
-
-
-def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows to append because their key is not in the target."""
-    return new_rows(rows, target, keys)
+    if not storage.create_numbered(spark, folder, after.number + 1, json.dumps([path, mark])):
+        storage.remove(spark, path)
+        return False
+    if after.number:
+        storage.remove(spark, f"{root}/{name}")
+    for version in storage.glob(spark, f"{root}/_versions/{name}-*"):
+        if int(version.rpartition(f"/{name}-")[2][:12]) < after.number:
+            storage.remove(spark, version)
+    return True

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+#: Looks at a numbered file that has no text yet, 0.2 seconds apart.
+PATIENCE = 25
+
 
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -26,6 +32,18 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not rename {source} to {target}")
 
 
+def try_rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename, or False when the source is gone or the target is there."""
+    if exists(spark, target):
+        return False
+    try:
+        return _fs(spark, source).rename(_path(spark, source), _path(spark, target))
+    except Py4JJavaError:
+        if exists(spark, source):
+            raise
+        return False
+
+
 def remove(spark: SparkSession, path: str) -> None:
     _fs(spark, path).delete(_path(spark, path), True)
 
@@ -34,3 +52,68 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match, in name order."""
     found = _fs(spark, pattern).globStatus(_path(spark, pattern)) or []
     return sorted(status.getPath().toString() for status in found)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Base names in a folder, in order; none when there is no such folder."""
+    return [path.rpartition("/")[2] for path in glob(spark, f"{folder}/*")]
+
+
+def files_below(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all files below a folder, relative to it."""
+    if not exists(spark, folder):
+        return []
+    fs, found = _fs(spark, folder), []
+    root = fs.makeQualified(_path(spark, folder)).toString()
+    entries = fs.listFiles(_path(spark, folder), True)
+    while entries.hasNext():
+        found.append(entries.next().getPath().toString()[len(root) + 1 :])
+    return sorted(found)
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; False when it is there already. Only one of several writers can succeed."""
+    try:
+        stream = _fs(spark, path).create(_path(spark, path), False)
+    except Py4JJavaError:
+        if exists(spark, path):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True
+
+
+def last_numbered(spark: SparkSession, folder: str) -> tuple[int, str]:
+    """The highest numbered file of a folder and its text; 0 and no text without any.
+
+    A file without text belongs to a writer that is about to fill it, so it is looked at again for a while.
+    After that its writer is taken to be lost: the number stays used and the text before it counts.
+    """
+    numbers = names(spark, folder)
+    for _ in range(PATIENCE):
+        text = read_text(spark, f"{folder}/{numbers[-1]}") if numbers else "-"
+        if text:
+            break
+        time.sleep(0.2)
+    for number in reversed(numbers):
+        text = read_text(spark, f"{folder}/{number}")
+        if text:
+            return int(numbers[-1]), text
+    return int(numbers[-1]) if numbers else 0, ""
+
+
+def create_numbered(spark: SparkSession, folder: str, number: int, text: str) -> bool:
+    """Create a numbered file; False when another writer has taken the number."""
+    return create_new(spark, f"{folder}/{number:012d}", text)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    stream = _fs(spark, path).open(_path(spark, path))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
