@@ -13,7 +13,8 @@ of all documents share can be cut anywhere.
 
 Slots number the documents of a shard without gaps. They come from counts per shard and digest group, so
 that no task orders a whole shard. A null text has no bytes of its own; null metadata count as the
-lowest value. Rows that repeat are placed one by one. Extra columns are not read.
+lowest value. Rows that repeat differ by their row number in the digest, so they are placed one by one; which of
+them goes where depends on the layout of the table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def _items(docs: DataFrame, stage: Stage) -> DataFrame:
         (_word_code("lang") if "lang" in docs.columns else F.lit(0).cast("bigint")).alias("_lang"),
         F.coalesce(chars, F.lit(-1)).alias("_chars"),
     )
-    digest = F.xxhash64("doc_id", "text_crc32", "size").bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))
+    digest = F.xxhash64("doc_id", "text_crc32", "size", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))
     return stage.put(rows.withColumn("_digest", digest), "items")
 
 
