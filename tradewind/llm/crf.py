@@ -30,16 +30,29 @@ class Chain:
         return self.bias + sum(get(feature, 0.0) for feature in features(word))
 
 
-def forward_backward(odds: np.ndarray, real: np.ndarray, start: np.ndarray, moves: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def forward_backward(
+    odds: np.ndarray,
+    real: np.ndarray,
+    start: np.ndarray,
+    moves: np.ndarray,
+    pairs: bool = False,
+    before: np.ndarray | None = None,
+    after: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray | None]:
     """Marginal probability of state 1 at each place, for rows of log odds; `real` marks places in use.
 
-    With `pairs` also the expected number of each transition. Padding stands at the ends of rows.
+    With `pairs` also the expected number of each transition. Padding stands at the ends of rows. Rows that are
+    pieces of longer chains take the messages from both sides: `before`, the weights of the states at the first
+    place before its emission, and `after`, those that the rest of the chain sends back; two columns each.
     """
     rows, length = odds.shape
     emit = np.exp(np.clip(odds, -30, 30))
     forward = np.empty((length, 2, rows))
     step = np.exp(moves)
-    a0, a1 = np.full(rows, np.exp(start[0])), np.exp(start[1]) * emit[:, 0]
+    a0, a1 = np.full(rows, np.exp(start[0])), np.full(rows, np.exp(start[1]))
+    if before is not None:
+        a0, a1 = before[:, 0], before[:, 1]
+    a1 = a1 * emit[:, 0]
     for t in range(length):
         if t:
             b0 = a0 * step[0, 0] + a1 * step[1, 0]
@@ -50,7 +63,7 @@ def forward_backward(odds: np.ndarray, real: np.ndarray, start: np.ndarray, move
         forward[t, 0], forward[t, 1] = a0, a1
     marginal = np.empty((rows, length))
     expected = np.zeros((2, 2)) if pairs else None
-    b0, b1 = np.ones(rows), np.ones(rows)
+    b0, b1 = (np.ones(rows), np.ones(rows)) if after is None else (after[:, 0], after[:, 1])
     for t in range(length - 1, -1, -1):
         f0, f1 = forward[t]
         p1 = f1 * b1
@@ -66,10 +79,38 @@ def forward_backward(odds: np.ndarray, real: np.ndarray, start: np.ndarray, move
             n0 = step[0, 0] * e0 + step[0, 1] * e1
             n1 = step[1, 0] * e0 + step[1, 1] * e1
             total = n0 + n1
-            b0, b1 = np.where(use, n0 / total, 1.0), np.where(use, n1 / total, 1.0)
+            b0, b1 = np.where(use, n0 / total, b0), np.where(use, n1 / total, b1)
     return marginal * real, expected
 
 
+def messages(odds: np.ndarray, real: np.ndarray, place: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`before` and `after` of the pieces of whole chains; `place` numbers each chain's pieces, which follow each other.
+
+    A piece is summed up by the products of its steps, two by two numbers. Forward messages go from piece to piece
+    of all chains at once, backward messages the other way, so a chain costs its length however it is cut.
+    """
+    rows, length = odds.shape
+    emit, step = np.exp(np.clip(odds, -30, 30)), np.exp(moves)
+    through = np.zeros((rows, 2, 2))
+    through[:, 0, 0], through[:, 1, 1] = 1.0, emit[:, 0]
+    for t in range(1, length):
+        after = through @ step
+        after[:, :, 1] *= emit[:, t, None]
+        after /= after.sum(axis=(1, 2), keepdims=True)
+        through = np.where(real[:, t, None, None], after, through)
+    before, behind = np.tile(np.exp(start), (rows, 1)), np.ones((rows, 2))
+    order = np.argsort(place, kind="stable")
+    bounds = np.searchsorted(place[order], np.arange(int(place.max()) + 2))
+    levels = [order[low:high] for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
+    for here in levels[1:]:
+        sent = np.einsum("ri,rij->rj", before[here - 1], through[here - 1]) @ step
+        before[here] = sent / sent.sum(axis=1, keepdims=True)
+    for here in reversed(levels[1:]):
+        sent = np.einsum("rij,rj->ri", through[here], behind[here]) @ step.T
+        behind[here - 1] = sent / sent.sum(axis=1, keepdims=True)
+    return before, behind
+
+
 def fit(windows: np.ndarray, tags: np.ndarray, word_features: list[np.ndarray], size: int, rounds: int = 60, ridge: float = 1e-3, rate: float = 0.15) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Weights, bias, start and transitions by gradient steps on the mean log likelihood.
 

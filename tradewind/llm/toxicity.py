@@ -9,7 +9,9 @@ the training labels at their true shares.
 
 The model is fitted on a bounded sample: at most `toxic_docs` and `clean_docs` labelled documents of at
 most `sample_chars` characters each, chosen by a digest of the id among the rows whose
-crc32(doc_id as text) mod 5 is not 0. Everything else reads whole texts. Only the text enters a score.
+crc32(doc_id as text) mod 5 is not 0. Everything else reads whole texts. Only the text enters a score. A text is
+one chain: it is worked in pieces of 64 words, and messages pass between the pieces both ways, so marginals are
+those of the whole text.
 
 A null or empty text has no words and gets the score of a document without offending ones. Without labels
 of both classes the score is the share of toxic labels, or 0 if there are none. Rows that repeat are
@@ -162,7 +164,9 @@ class Tagger:
         real = at < (begin + lengths)[owner][:, None]
         if not len(owner):
             return highest, expected, [np.zeros(0)] * len(texts)
-        marginal, _ = crf.forward_backward(np.where(real, odds[np.where(real, at, 0)], 0.0), real, self.chain.start, self.chain.moves)
+        cut = np.where(real, odds[np.where(real, at, 0)], 0.0)
+        before, after = crf.messages(cut, real, inner, self.chain.start, self.chain.moves)
+        marginal, _ = crf.forward_backward(cut, real, self.chain.start, self.chain.moves, before=before, after=after)
         clipped = np.clip(marginal, 6.1e-6, 1 - 6.1e-6)
         np.maximum.at(highest, owner, np.log(clipped / (1 - clipped)).max(axis=1))
         np.add.at(expected, owner, marginal.sum(axis=1))
