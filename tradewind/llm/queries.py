@@ -1,4 +1,4 @@
-"""Registered queries of the operators, each over its whole table, and SQL where SQL can express them."""
+"""Registered queries of the operators, each over its whole table; `ORACLES` has their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm import codebooks, exact_dedup, html_text, mixing, neighbours, ngram_join, packing, prefix_trie, secrets, sharding, simhash, token_counts, toxicity
+from tradewind.llm.oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,13 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: run for name, run in list(globals().items()) if name.startswith("op") and callable(run)
 }
 
-ORACLES = {
-    "op2_exact_dedup": """
-        WITH normal AS (
-            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
-            FROM documents)
-        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-               doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
-        FROM normal WINDOW same AS (PARTITION BY norm)
-    """,
-}
+__all__ = ["ORACLES", "QUERIES"]
