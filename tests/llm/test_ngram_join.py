@@ -83,9 +83,24 @@ def test_near_copies_in_large_and_small_blocks(spark, monkeypatch, block, grid,
         assert fast_join(frame, words=2, least=60, orders=2) == slow_join(rows, 2, 60)
 
 
-def test_pairs_left_over_by_blocks_are_found(spark, monkeypatch):
-    """Blocks that link nothing leave every link to the pairs across components."""
-    monkeypatch.setattr(ngram_join, "blocked", lambda sets, *_: sets.select(F.col("node").alias("a"), F.col("node").alias("b")).where("a <> b"))
+@pytest.mark.parametrize("visited", [False, True])
+def test_pairs_left_over_by_blocks_are_found(spark, monkeypatch, visited):
+    """Each node in a block of its own leaves every link to visits, or to pairs across blocks where visits link nothing."""
+    real, calls = ngram_join.blocked, []
+
+    def linking(sets, *how):
+        calls.append(how)
+        none = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).where("a <> b")
+        return real(sets, *how) if visited and len(calls) > 1 else none
+
+    opened, visits = ngram_join.opened, ngram_join.visits
+    alone = lambda places: places.withColumn("_block", F.col("node"))
+    monkeypatch.setattr(ngram_join, "blocked", linking)
+    monkeypatch.setattr(ngram_join, "opened", lambda rows, places, *rest: opened(rows, alone(places), *rest))
+    monkeypatch.setattr(ngram_join, "visits", lambda rows, places, stage: visits(rows, alone(places), stage))
+    if not visited:
+        crossing = ngram_join.crossing
+        monkeypatch.setattr(ngram_join, "crossing", lambda rows, *rest: crossing(rows.withColumn("_main", F.lit(-1).cast("bigint")), *rest))
     rows = near_copies(9)
     assert fast_join(spark.createDataFrame(rows, "doc_id bigint, text string")) == slow_join(rows)
 

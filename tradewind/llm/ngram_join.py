@@ -15,9 +15,10 @@ its own hash. The orders only decide speed; any of them gives the same links.
 3. `blocked` sends the whole set of each node left to the block of its commonest shared shingle. A task holds a
    bounded number of shingles at a time, intersects the posting lists of all orders, verifies, and keeps a
    spanning forest. Groups too large for a block are cut, and met again in differently mixed blocks.
-4. `crossing` gives all pairs that share enough of the first order's shingles but are not connected yet; within one
-   shingle's group only nodes outside its largest component start pairs. `checked` filters them by the other
-   orders and verifies the rest, in a grid of blocks, so that no node and no pair list meets in one task.
+4. A pair that links meets in a rare one of its shared shingles. Where such a shingle's nodes lie in several blocks,
+   those outside the main one visit it (`visits`) and are compared there in the same way. What is left are pairs of
+   two visitors that are not connected yet (`crossing`); `checked` filters them by the other orders and verifies
+   the rest, in a grid of blocks, so that no node and no pair list meets in one task.
 
 Sets are compared by 64-bit hashes of their shingles; a wrong comparison needs a collision inside one pair.
 Shared shingles are found by as many bits of the hash as the table needs, which can only add candidates.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.common import Stage, bounded, join_groups, text_bytes
@@ -367,26 +368,61 @@ def blocked(sets: DataFrame, classes: bytes, least: int, orders: int, tasks: int
     return dealt.mapInArrow(convert, "a bigint, b bigint")
 
 
-def crossing(met: DataFrame, parts: DataFrame, least: int, stage: Stage) -> DataFrame:
-    """Pairs a, b of different components that share enough of the first order's shingles; `met` has token, node and size."""
-    placed = met.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    placed = stage.put(placed.select("token", "node", "size", "part"), "placed")
-    groups = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("_nodes"))
-    open_tokens = groups.groupBy("token").agg(F.max(F.struct("_nodes", "part"))["part"].alias("_main"), F.count(F.lit(1)).alias("_parts"), F.sum("_nodes").alias("_nodes"))
-    open_tokens = stage.put(open_tokens.where("_parts > 1").select("token", "_main", "_nodes"), "open")
-    rows = stage.put(join_groups(placed, open_tokens, "token", "_nodes", stage, "open-hot").drop("_nodes"), "open-rows")
-    first = rows.where("part <> _main").select("token", *[F.col(n).alias(f"{n}_a") for n in ("node", "size", "part")])
-    second = rows.select("token", "_main", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "part")])
+def rarest(met: DataFrame, least: int) -> DataFrame:
+    """The rows of each node's rarest shared shingles that a pair must meet in.
+
+    A pair shares more than `spare` of them, for the smallest set that the node can link with. So, with the shingles
+    in one order for all nodes, rare ones first, it meets before the last `spare` of each node.
+    """
+    order = Window.partitionBy("node").orderBy("_nodes", "token")
+    held = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    fewest = _spare_column(F.ceil(F.col("size") * least / 100), least)
+    ranked = met.withColumn("_rank", F.row_number().over(order)).withColumn("_held", held)
+    return ranked.where(F.col("_rank") <= F.col("_held") - fewest).drop("_rank", "_held", "_nodes")
+
+
+def opened(rows: DataFrame, places: DataFrame, parts: DataFrame, stage: Stage) -> DataFrame:
+    """The rows of shingles whose nodes lie in several blocks and components, with `_main`, the block that holds most.
+
+    `rows` has token, node and size, `places` the block of each node and `parts` its component.
+    """
+    placed = rows.join(places, "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    placed = stage.put(placed.select("token", "node", "size", "part", "_block"), "placed")
+    groups = placed.groupBy("token", "_block").agg(F.count(F.lit(1)).alias("_nodes"), F.min("part").alias("_low"), F.max("part").alias("_high"))
+    open_tokens = groups.groupBy("token").agg(
+        F.max(F.struct("_nodes", "_block"))["_block"].alias("_main"), F.count(F.lit(1)).alias("_blocks"), F.sum("_nodes").alias("_nodes"), F.min("_low").alias("_low"), F.max("_high").alias("_high")
+    )
+    open_tokens = stage.put(open_tokens.where("_blocks > 1 AND _low < _high").select("token", "_main", "_nodes"), "open")
+    return join_groups(placed, open_tokens, "token", "_nodes", stage, "open-hot").drop("_nodes")
+
+
+def visits(rows: DataFrame, places: DataFrame, stage: Stage) -> DataFrame:
+    """node and `_block`: nodes outside their shingle's main block meet its nodes there.
+
+    Where they are too many, the block is copied, and each copy gets a part of the visitors.
+    """
+    guests = stage.put(rows.where("_block <> _main").groupBy("_main", "node").agg(F.max("size").alias("size")), "guests")
+    cuts = guests.groupBy("_main").agg(F.ceil(F.sum(F.col("size").cast("bigint")) / BLOCK_SHINGLES).cast("int").alias("_cuts"), F.count(F.lit(1)).alias("_guests"))
+    cuts = stage.put(cuts, "guest-cuts")
+    dealt = join_groups(guests, cuts, "_main", "_guests", stage, "guest-hot").select("node", F.xxhash64("_main", F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")).alias("_block"))
+    copies = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))
+    hosts = places.join(cuts.withColumnRenamed("_main", "_block"), "_block").select("node", "_block", copies.alias("_cut"))
+    return dealt.unionByName(hosts.select("node", F.xxhash64("_block", "_cut").alias("_block")))
+
+
+def crossing(rows: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+    """Pairs a, b of different components that meet in a shingle outside its main block and come from different blocks."""
+    others = rows.where("_block <> _main").drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    first = others.select("token", *[F.col(n).alias(f"{n}_a") for n in ("node", "size", "part", "_block")])
+    second = others.select("token", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "part", "_block")])
     fits = (
         (F.col("part_a") != F.col("part_b"))
-        & ((F.col("part_b") == F.col("_main")) | (F.col("node_a") < F.col("node_b")))
+        & (F.col("_block_a") != F.col("_block_b"))
+        & (F.col("node_a") < F.col("node_b"))
         & (100 * F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
     )
     pairs = first.join(second, (first["token"] == second["token"]) & fits)
-    shared = pairs.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("_shared"), F.min(F.least("size_a", "size_b")).alias("_size")
-    )
-    return shared.where(F.col("_shared") > _spare_column(F.col("_size"), least)).select("a", "b")
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def checked(pairs: DataFrame, sets: DataFrame, classes: bytes, least: int, orders: int) -> DataFrame:
@@ -464,7 +500,13 @@ def links(docs: DataFrame, rows: DataFrame, classes: bytes, part: tuple[int, int
         more = blocked(sets.drop("_block").join(mixed, "node"), classes, least, orders, tasks)
         linked = linked.unionByName(stage.put(more, f"links-{number}"))
     parts = roots(linked, Stage(spark, "ngram-parts")).select("node", F.col("root").alias("part"))
-    pairs = stage.put(crossing(met.drop("_nodes"), parts, least, stage), "pairs")
+    places = homes.select("node", block(0))
+    left = stage.put(opened(stage.put(rarest(met, least), "rarest"), places, parts, stage), "open-rows")
+    met_again = sets.drop("_block").join(visits(left, places, stage).join(parts.withColumnRenamed("part", "_part"), "node", "left"), "node")
+    met_again = met_again.withColumn("_part", F.coalesce("_part", "node"))
+    linked = linked.unionByName(stage.put(blocked(met_again, classes, least, orders, tasks), "links-visits"))
+    parts = roots(linked, Stage(spark, "ngram-visits")).select("node", F.col("root").alias("part"))
+    pairs = stage.put(crossing(left, parts, least), "pairs")
     return linked.unionByName(stage.put(checked(pairs, sets, classes, least, orders), "links-last"))
 
 
