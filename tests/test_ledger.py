@@ -82,6 +82,18 @@ def test_a_load_that_breaks_off_after_its_commit_is_completed(spark, warehouse,
     assert storage.names(spark, f"{warehouse.root}/_pending") == []
 
 
+def test_a_pending_folder_may_go_while_it_is_listed(spark, warehouse, monkeypatch):
+    """Two writers that complete one commit at the same time do not trip over each other."""
+    add_sellers(warehouse, sellers(spark, 1))
+    assert storage.files_below(spark, f"{warehouse.root}/_pending/gone") == []
+    with monkeypatch.context() as late:
+        late.setattr(storage, "remove", lambda *_: None)
+        add_sellers(warehouse, sellers(spark, 2))
+    commit = Ledger(spark, warehouse.root, "dim_seller").last()
+    Ledger(spark, warehouse.root, "dim_seller").publish(commit)
+    assert rows(warehouse.read("dim_seller"), "seller_code") == [(1,), (2,)]
+
+
 def test_two_writers_never_add_the_same_key(spark, warehouse):
     root, turns = warehouse.root, []
     first = sellers(spark, 1, 2).drop("seller_name")

@@ -60,14 +60,16 @@ def names(spark: SparkSession, folder: str) -> list[str]:
 
 
 def files_below(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of all files below a folder, relative to it."""
-    if not exists(spark, folder):
-        return []
+    """Paths of all files below a folder, relative to it; those found so far if somebody removes the folder meanwhile."""
     fs, found = _fs(spark, folder), []
-    root = fs.makeQualified(_path(spark, folder)).toString()
-    entries = fs.listFiles(_path(spark, folder), True)
-    while entries.hasNext():
-        found.append(entries.next().getPath().toString()[len(root) + 1 :])
+    try:
+        root = fs.makeQualified(_path(spark, folder)).toString()
+        entries = fs.listFiles(_path(spark, folder), True)
+        while entries.hasNext():
+            found.append(entries.next().getPath().toString()[len(root) + 1 :])
+    except Py4JJavaError:
+        if exists(spark, folder):
+            raise
     return sorted(found)
 
 
