@@ -254,3 +254,25 @@ def test_a_history_in_buckets_is_not_shuffled(spark, plain, bucketed):
     image_side, history_side = "\n".join(lines[join + 1 : second]), "\n".join(lines[second:])
     assert "Exchange hashpartitioning" in image_side
     assert "Bucketed: true" in history_side and "Exchange" not in history_side
+
+
+def test_a_page_takes_one_run_of_its_report(spark, plain):
+    """A report that may run once only still gives its page; so does the pivot."""
+    from tradewind.operators import rollups
+
+    report = reports.sales_report(plain.tables(), platform_id=12)
+    expected = rows(reports.best_seller_page(report, page=2))
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        runs.add(1)
+        yield from batches
+
+    once = report.coalesce(1).mapInArrow(counted, report.schema)
+    assert rows(reports.best_seller_page(once, page=2)) == expected and len(expected) == 10
+    assert runs.value == 1
+    growth = reports.growth_report(plain.tables(), period="60-DAY")
+    pivot = rows(rollups.band_pivot(growth))
+    before = runs.value
+    assert rows(rollups.band_pivot(growth.coalesce(1).mapInArrow(counted, growth.schema))) == pivot
+    assert runs.value == before + 1

@@ -132,20 +132,27 @@ def platform_share(report: DataFrame, kind: str = REVENUE) -> DataFrame:
     return by_platform(report, kind).select("name", "value", F.round(percent, 2).cast("decimal(5,2)").alias("percent"))
 
 
+def _by_total(amounts: DataFrame) -> DataFrame:
+    totals = amounts.groupBy("platform_name").agg(F.sum("amount").alias("total"))
+    return totals.orderBy(F.col("total").desc(), "platform_name")
+
+
 def platforms_by_total(report: DataFrame) -> DataFrame:
     """Platform names, the highest amount over all bands first."""
-    totals = band_amounts(report).groupBy("platform_name").agg(F.sum("amount").alias("total"))
-    return totals.orderBy(F.col("total").desc(), "platform_name")
+    return _by_total(band_amounts(report))
 
 
 def band_pivot(report: DataFrame, platforms: list[str] | None = None) -> DataFrame:
     """Amount per band with one column per platform, zero where missing.
 
-    Without a given list the columns follow the platform totals; that list has one name per platform.
+    Without a given list the columns follow the platform totals. The report runs once: names and amounts both come
+    from the sums per band and platform, a few rows.
     """
+    amounts = band_amounts(report)
     if platforms is None:
-        platforms = [row["platform_name"] for row in platforms_by_total(report).collect()]
-    wide = band_amounts(report).groupBy("band").pivot("platform_name", platforms).agg(F.sum("amount"))
+        amounts = report.sparkSession.createDataFrame(amounts.collect(), amounts.schema)
+        platforms = [row["platform_name"] for row in _by_total(amounts).collect()]
+    wide = amounts.groupBy("band").pivot("platform_name", platforms).agg(F.sum("amount"))
     return wide.fillna(0, subset=platforms).select(
         "band", _band_label(F.col("band")).alias("price_range"), *platforms
     ).orderBy("band")

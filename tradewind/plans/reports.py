@@ -25,6 +25,7 @@ from tradewind.operators.joins import star
 from tradewind.operators.ranking import page_info, page_rows
 from tradewind.operators.trees import subtree
 from tradewind.operators.windows import latest_rows, longest_period
+from tradewind.plans.warehouse import staging
 from tradewind.schemas import LATEST, PRODUCT_KEY
 from tradewind.sources.tables import rows_to_df
 
@@ -126,15 +127,25 @@ def sales_report(
 PAGE_COLUMNS = ["current_page", "page_size", "total_page"]
 
 
+def _page(report: DataFrame, measure: str, page: int) -> DataFrame:
+    """The rows of one page with its number and the page count; the report runs once, into a staged copy.
+
+    The copy gives the count, which its files hold, and the page, a bounded number of rows.
+    """
+    with staging(report.sparkSession) as stage:
+        rows = page_rows(stage(report, "page"), measure, ["id"], page)
+        return report.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def growth_page(report: DataFrame, kind: str = R.REVENUE, page: int = 1) -> DataFrame:
     """Product cards of one page, by units or by amount, highest first; none for an empty report."""
-    rows = page_rows(report, "sold" if kind == R.SALES else "amount", ["id"], page)
+    rows = _page(report, "sold" if kind == R.SALES else "amount", page)
     return R.product_cards(rows, PAGE_COLUMNS)
 
 
 def best_seller_page(report: DataFrame, order_by: str = BEST_BY_SOLD, page: int = 1) -> DataFrame:
     """Best-seller cards of one page; none for an empty report."""
-    rows = page_rows(report, "total_sold" if order_by == BEST_BY_SOLD else "total_amount", ["id"], page)
+    rows = _page(report, "total_sold" if order_by == BEST_BY_SOLD else "total_amount", page)
     return R.best_seller_cards(rows, PAGE_COLUMNS)
 
 
