@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import filterfalse
 
 import numpy as np
 
@@ -64,7 +65,7 @@ class PartEncoder:
 
     def known(self, wanted: list[str]) -> dict[str, bytes]:
         """A lookup that holds every wanted part."""
-        new = set(wanted).difference(self.cache)
+        new = set(filterfalse(self.cache.__contains__, wanted))
         if len(self.cache) + len(new) > self.limit:
             self.cache.clear()
             new = set(wanted)
