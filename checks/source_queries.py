@@ -31,7 +31,7 @@ _DAY_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({date_id}, '{day}')" for date
 def _chunked(spark: SparkSession, sf: str, platform_id: int, kind: str, rows: int) -> str:
     folder = scratch_path(spark, "landing")
     for date_id, day in DAYS.items():
-        file_sink.write_chunks(landing.landing(spark, sf, platform_id, date_id), folder, kind, day, rows)
+        file_sink.write_chunks(landing.landing(spark, sf, platform_id, date_id), folder, kind, day, rows, compressed=True)
     return folder
 
 
@@ -132,7 +132,7 @@ def files_taken_up(spark: SparkSession, sf: str) -> DataFrame:
     names = []
     for days in ((1, 2, 3, 4), (5, 6), ()):
         for date_id in days:
-            file_sink.write_chunks(landing.landing(spark, sf, 11, date_id), folder, "products", DAYS[date_id], 100_000)
+            file_sink.write_chunks(landing.landing(spark, sf, 11, date_id), folder, "products", DAYS[date_id], 100_000, compressed=True)
         landing_source.take_up(spark, folder, "products", root)
         names.append(landing_source.files_by_time(landing_source.taken(spark, "products", root)).select("name", F.lit(len(days)).alias("days")))
     assert names[1].count() == names[2].count()
