@@ -1,4 +1,4 @@
-"""How landing files and tables are laid out: compressed chunks, names in one listing, writes without a sort."""
+"""How landing files and tables are laid out: compressed chunks, names in one listing, partitioned writes."""
 
 from __future__ import annotations
 
@@ -47,8 +47,8 @@ def test_names_with_any_signs_are_listed_whole(spark):
     assert storage.names(spark, folder) == ["a-3.json.gz", "a-4.json.bak", "b", "c"]
 
 
-def test_partitioned_tables_are_written_in_row_order(spark):
-    """A sort by partition would have moved the rows of all partitions together and held them in memory."""
+def test_partitioned_tables_are_compressed_and_leave_settings(spark):
+    """One file per partition from one task; that the write has no sort shows only in the memory of its tasks."""
     root, seen = scratch_path(spark, "unsorted"), "spark.sql.maxConcurrentOutputFileWriters"
     rows = spark.range(0, 40, 1, 1).select(
         F.col("id").alias("sale_id"), (F.col("id") % 2 + 1).alias("date_id"), (F.col("id") % 3 + 10).cast("int").alias("platform_id")
