@@ -44,3 +44,16 @@ def test_ranked_snapshots_are_not_shuffled_again_for_their_starts(spark, large):
     df = windows.rank_snapshots(spark.createDataFrame(data, "k string, date_id int, sale_id int"), ["k"])
     assert "approx_top_k" not in plan(df) and "_salt" not in plan(df)
     assert rows(df, "sale_id", "rn") == [(10, 3), (11, 2), (12, 1), (13, 2), (14, 1)]
+
+
+def test_pairs_of_many_line_items_keep_their_tasks(spark, line_items, monkeypatch):
+    """Adaptive execution would join the tasks by the bytes of the items, and their counters would then spill."""
+    assert "REPARTITION_BY_COL" in plan(star.pairs(spark, line_items))
+    monkeypatch.setattr(skew, "estimated_bytes", lambda _: 20 * skew.SPREAD_BYTES + 1)
+    df = star.pairs(spark, line_items)
+    assert "REPARTITION_BY_NUM" in plan(df) and ", 21)" in plan(df)
+    assert rows(df, "p_partkey", "sold") == [(1, 7), (2, 5), (None, 6)]
+    monkeypatch.setattr(skew, "estimated_bytes", lambda _: 5 * skew.SPREAD_BYTES)
+    assert ", 8)" in plan(star.pairs(spark, line_items))
+    monkeypatch.setattr(skew, "estimated_bytes", lambda _: None)
+    assert "REPARTITION_BY_NUM" in plan(star.pairs(spark, line_items))
