@@ -7,7 +7,8 @@ import pytest
 from checks import star
 from tests.conftest import rows
 from tests.test_plans import plan
-from tradewind.operators import skew, windows
+from tradewind.operators import joins, skew, windows
+from tradewind.sources import storage
 
 
 @pytest.fixture
@@ -57,3 +58,28 @@ def test_pairs_of_many_line_items_keep_their_tasks(spark, line_items, monkeypatc
     assert ", 8)" in plan(star.pairs(spark, line_items))
     monkeypatch.setattr(skew, "estimated_bytes", lambda _: None)
     assert "REPARTITION_BY_NUM" in plan(star.pairs(spark, line_items))
+
+
+def test_older_snapshots_meet_their_latest_in_one_shuffle(spark, monkeypatch):
+    """Key 0 is hot, keys may be null or NaN, and latest rows may hold nulls."""
+    hot = [(0.0, i % 40, 100 + i, i) for i in range(400)]
+    cold = [(float(k), d, 1000 + 10 * k + d, None if d == 2 else k) for k in range(1, 200) for d in (1, 2)]
+    odd = [(None, 1, 5000, 1), (None, 2, 5001, 2), (float("nan"), 1, 5002, 1), (float("nan"), 2, 5003, 2), (500.0, 1, 5004, 1)]
+    df = spark.createDataFrame([*hot, *cold, *odd], "k double, date_id int, sale_id int, units int").repartition(5)
+    expected = rows(joins.against_latest(df, ["k"]))
+    for module in (joins, skew):
+        monkeypatch.setattr(module, "fits_broadcast", lambda *_: False, raising=False)
+    found = joins.against_latest(df, ["k"])
+    assert "SortMergeJoin" not in plan(found)
+    assert found.columns == ["k", "date_id", "sale_id", "units", "latest_date_id", "latest_sale_id", "latest_units"]
+    assert [str(r) for r in rows(found)] == [str(r) for r in expected] and len(expected) == 399 + 199 + 1
+    assert found.where("sale_id = 5002 AND latest_sale_id = 5003").count() == 1
+    assert found.where("k = 0 AND latest_sale_id = 499 AND latest_date_id = 39").count() == 399
+
+
+def test_sales_alone_are_written_without_the_pairs(spark, sf):
+    apart = f"{sf}/."
+    alone = star.stored(spark, apart, "fact_sales", alone=True)
+    assert rows(alone) == rows(star.stored(spark, sf, "fact_sales"))
+    root = star._roots[spark.sparkContext.applicationId, apart]
+    assert storage.names(spark, root) == ["fact_sales"]
