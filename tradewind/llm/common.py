@@ -74,12 +74,12 @@ def join_groups(df: DataFrame, groups: DataFrame, on: str, rows: str, stage: Sta
     most = GROUP_ROWS if most is None else most
     if (groups.agg(F.max(rows)).first()[0] or 0) <= most:
         return df.join(groups, on)
-    hot = stage.put(groups.where(F.col(rows) > most).select(on, F.ceil(F.col(rows) / most).cast("int").alias("_cuts")), name)
-    hot, cuts = bounded(hot, hot.count(), 16), F.coalesce("_cuts", F.lit(1))
+    hot = stage.put(groups.where(F.col(rows) > most).select(on, F.ceil(F.col(rows) / most).cast("int").alias("_hot_cuts")), name)
+    hot, cuts = bounded(hot, hot.count(), 16), F.coalesce("_hot_cuts", F.lit(1))
     salt = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if salt is None else F.xxhash64(salt)
     dealt = df.withColumn("_own", salt).join(hot, on, "left")
-    dealt = dealt.withColumn("_cut", F.pmod("_own", cuts).cast("int")).drop("_own", "_cuts")
-    copies = groups.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_cuts")
+    dealt = dealt.withColumn("_cut", F.pmod("_own", cuts).cast("int")).drop("_own", "_hot_cuts")
+    copies = groups.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_hot_cuts")
     return dealt.join(copies, [on, "_cut"]).drop("_cut")
 
 
